@@ -42,7 +42,7 @@ def shard(docs: DataFrame, n_shards: int = 16, seed: int = 20_240_117, bucket_by
     # one row per bucket: a running sum over these few rows gives the first place of each
     sizes = fine.groupBy(bucket(F.col("fine")).alias("bucket")).agg(F.sum("n").alias("n"))
     first = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("first"))
-    dealt = rows.withColumn("bucket", bucket(fine_bucket(seed))).repartition("bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text_crc32", "size", "text"))).alias("rows"))
+    dealt = rows.withColumn("bucket", bucket(fine_bucket(seed))).repartition(n_buckets, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text_crc32", "size", "text"))).alias("rows"))
     shuffled = dealt.sortWithinPartitions("bucket").select("bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))
     placed = shuffled.join(first, "bucket").select("first", F.posexplode("rows").alias("at", "row")).withColumn("place", F.col("first") + F.col("at"))
     return placed.select("row.doc_id", "row.text", "row.size", "row.text_crc32", (F.col("place") % n_shards).cast("int").alias("shard"), F.floor(F.col("place") / n_shards).cast("long").alias("slot"))
