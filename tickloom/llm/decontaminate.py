@@ -33,7 +33,7 @@ from .common import cut, drop_rows, text_or_empty
 
 WINDOW = 8
 BITMAP_BITS = 22
-TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+")
+TOKEN = re.compile(r"([^\W\d_]+|\d+(?:[.,:/]\d+)*)")
 #: Units that follow a number, and first names and titles taken as names wherever they stand.
 UNITS = frozenset(
     "mm cm m km inch inches ft feet foot yard yards mile miles mg g kg t lb lbs oz ton tons gram grams kilogram kilograms ml l liter liters litre litres "
@@ -46,58 +46,73 @@ NAMES = frozenset(
     "mark martin mary max mia michael mike nina noah olivia oscar paul peter rachel robert rosa sam samuel sarah sofia sophie steve susan thomas tim tom "
     "victor william anna ben charlie daniel ella george hannah isabel jessica marie hans klaus pierre jean juan pedro luis ana elena miguel".split()
 )
-NUMBER, NAME, UNIT = "\x01num", "\x01name", "\x01unit"
-SENTENCE_END = frozenset(".!?:;|\n\"'")
+NUMBER, NAME, UNIT, MAYBE_NAME = 1, 2, 3, 4
+HELD_WORDS = 300_000
 
 
-def template(text: str) -> tuple[list[str], list[str | None]]:
-    """Tokens with placeholders, and the value behind each placeholder."""
-    tokens: list[str] = []
-    slots: list[str | None] = []
-    end = 0
-    for found in TOKEN.finditer(text):
-        word = found[0]
+class Templates:
+    """parse(text) gives a template: a hash for each token, and the kinds and values of its placeholders."""
+
+    def __init__(self) -> None:
+        from xxhash import xxh64_intdigest
+
+        self.digest = xxh64_intdigest
+        self.placeholder = {k: xxh64_intdigest(b"placeholder", k) for k in (NUMBER, NAME, UNIT)}
+        self.words: dict[str, tuple[int, int, str]] = {}
+
+    def look_up(self, word: str) -> tuple[int, int, str]:
+        """Hash, what it may stand for (0: itself) and the folded word."""
         low = word.lower().replace("ß", "ss")
-        kind = None
+        kind = 0
         if word[0].isdigit():
             kind = NUMBER
-        elif low in UNITS and tokens and tokens[-1] == NUMBER:
+        elif low in UNITS:
             kind = UNIT
-        elif low in NAMES or (len(word) > 1 and word[0].isupper() and word[1:].islower() and tokens and text[end : found.start()] in (" ", ", ")):
+        elif low in NAMES:
             kind = NAME
-        tokens.append(kind or low)
-        slots.append(low if kind else None)
-        end = found.end()
-    return tokens, slots
-
-
-def token_hashes(tokens: list[str], memory: dict[str, int]) -> np.ndarray:
-    from xxhash import xxh64_intdigest
-
-    get = memory.get
-    found = [get(t) for t in tokens]
-    if None in found:
-        if len(memory) > 300_000:
-            memory.clear()
-        for i, (t, h) in enumerate(zip(tokens, found, strict=True)):
-            if h is None:
-                found[i] = memory[t] = xxh64_intdigest(t)
-    return np.array(found, dtype=np.uint64)
-
-
-def windows(tokens: list[str], memory: dict[str, int], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+        elif len(word) > 1 and word[0].isupper() and word[1:].islower():
+            kind = MAYBE_NAME
+        if len(self.words) > HELD_WORDS:
+            self.words.clear()
+        found = self.words[word] = (self.digest(low), kind, low)
+        return found
+
+    def parse(self, text: str) -> tuple[np.ndarray, dict[int, int], dict[int, str]]:
+        parts = TOKEN.split(text)
+        get = self.words.get
+        found = [get(w) or self.look_up(w) for w in parts[1::2]]
+        hashes = np.array([f[0] for f in found], dtype=np.uint64)
+        kinds: dict[int, int] = {}
+        values: dict[int, str] = {}
+        for i in [i for i, f in enumerate(found) if f[1]]:
+            kind = found[i][1]
+            if kind == UNIT and kinds.get(i - 1) != NUMBER:
+                continue
+            if kind == MAYBE_NAME:  # a capital inside a sentence
+                if not i or parts[2 * i] not in (" ", ", "):
+                    continue
+                kind = NAME
+            kinds[i], values[i] = kind, found[i][2]
+            hashes[i] = self.placeholder[kind]
+        return hashes, kinds, values
+
+
+def windows(hashes: np.ndarray, kinds: dict[int, int], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Positions and signed 64-bit hashes of the usable windows."""
-    if not tokens:
+    if not len(hashes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    width = min(width, len(tokens))
-    hashes = token_hashes(tokens, memory)
+    width = min(width, len(hashes))
     n = len(hashes) - width + 1
     out = np.full(n, width, dtype=np.uint64)
     for k in range(width):  # a polynomial in an odd number, mixed at the end
         out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
     out ^= out >> np.uint64(32)
-    plain = np.concatenate([[0], np.cumsum([t[0] != "\x01" for t in tokens])])
-    at = np.nonzero(2 * (plain[width:] - plain[:-width]) >= width)[0]
+    if not kinds:
+        return np.arange(n), out.view(np.int64)
+    held = np.zeros(len(hashes) + 1, dtype=np.int64)
+    held[[i + 1 for i in kinds]] = 1
+    held = np.cumsum(held)
+    at = np.nonzero(2 * (held[width:] - held[:-width]) <= width)[0]
     return at, out[at].view(np.int64)
 
 
@@ -107,13 +122,13 @@ def keyed_windows(rows: DataFrame, width: int, bitmap: np.ndarray | None) -> Dat
     shared = rows.sparkSession.sparkContext.broadcast(bitmap) if bitmap is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, int] = {}
+        templates = Templates()
         bits = shared.value if shared else None
         for batch in batches:
             took, n_tokens, at, hashes, slots = [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                tokens, values = template(text)
-                places, found = windows(tokens, memory, width)
+                tokens, kinds, values = templates.parse(text)
+                places, found = windows(tokens, kinds, width)
                 if bits is not None and len(places):
                     low = found & ((1 << BITMAP_BITS) - 1)
                     hit = (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
@@ -123,7 +138,7 @@ def keyed_windows(rows: DataFrame, width: int, bitmap: np.ndarray | None) -> Dat
                     n_tokens.append(len(tokens))
                     at.append(p)
                     hashes.append(h)
-                    slots.append([v or "" for v in values[p : p + width]])
+                    slots.append([values.get(i, "") for i in range(p, min(p + width, len(tokens)))])
             own = [batch.column(f.name).take(pa.array(took, pa.int64())) for f in keys]
             yield pa.RecordBatch.from_arrays([*own, pa.array(n_tokens, pa.int32()), pa.array(at, pa.int32()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string()))], names=[*[f.name for f in keys], "n_tokens", "at", "hash", "slots"])
 
