@@ -18,11 +18,12 @@ import numpy as np
 
 from .common import tokenizer_path
 
-MOST = 300_000
-#: The word patterns in the two tokenizer files, and where a cut at a single space is not safe.
+MOST = 500_000
+TEXTS_AT_ONCE = 200
+#: The word patterns in the two tokenizer files, and white space other than a space or a line end.
 BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LOWER_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-LOOSE_SPACE = re.compile(r"(?:^|\s) | (?:\s|$)")
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 CONTROL = re.compile("[\x1c-\x1f]")
 
 
@@ -38,55 +39,89 @@ class Encoder:
         self.special = tuple(str(t) for t in self.library.get_added_tokens_decoder().values())
         self.lower = self.library.normalizer is not None
         self.words = regex.compile(LOWER_WORDS if self.lower else BYTE_WORDS)
+        # words are asked for in lines; the mark between them is one id that no word without the mark has
+        self.mark = " | " if self.lower else "\n"
+        (self.mark_id,) = self.library.encode(self.mark, add_special_tokens=False).ids
+        # ids of chunks and of words; what is used often outlives a change of generation
         self.chunks: dict[str, bytes] = {}
         self.memory: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
+        self.old_memory: dict[str, bytes] = {}
 
     def ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def ask_words(self, words: list[str]) -> None:
+        """Put the ids of ``words`` into the memory."""
+        mark = self.mark.strip(" ")
+        plain = [w for w in words if mark not in w and not w[-1:].isspace()]
+        rest = [w for w in words if mark in w or w[-1:].isspace()]
+        lines = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        for line, found in zip(lines, self.ask([self.mark.join(line) for line in lines]), strict=True):
+            ends = (4 * np.flatnonzero(np.frombuffer(found, "<u4") == self.mark_id)).tolist()
+            own = [found[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(found)], strict=True)]
+            self.memory.update(zip(line, own, strict=True))
+        self.memory.update(zip(rest, self.ask(rest), strict=True))
+
     def cut(self, text: str) -> list[str] | None:
         """The chunks of ``text``, the first marked as it has no space before it; None if it may not be cut."""
         if "<|" in text and any(s in text for s in self.special):
             return None
         if self.lower:
             return None if CONTROL.search(text) else text.split()
-        if "\0" in text or LOOSE_SPACE.search(text):
+        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or "\0" in text or OTHER_SPACE.search(text):
             return None
         head, *rest = text.split(" ")
         return ["\0" + head, *rest]
 
-    def learn(self, new: set[str]) -> None:
+    def pieces(self, chunk: str) -> list[str] | None:
+        """The tokenizer's own words in a chunk; None if they can't be told apart from outside."""
+        if self.lower:
+            if chunk.isascii():
+                chunk = chunk.lower()
+            elif "Σ" in chunk or not unicodedata.is_normalized("NFC", chunk):
+                return None
+            return [chunk] if chunk.isalpha() else self.words.findall(chunk)
+        text = chunk[1:] if chunk[:1] == "\0" else " " + chunk
+        if chunk.isalpha():
+            return [text]
+        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+            return [text[:-1], chunk[-1]]
+        return self.words.findall(text)
+
+    def learn(self, new: list[str]) -> None:
         """Put the ids of ``new`` chunks into the memory."""
-        if len(self.chunks) > MOST:
-            self.chunks.clear()
-        if len(self.memory) > MOST:
-            self.memory.clear()
-        whole: list[str] = []
-        pieces: dict[str, list[str]] = {}
-        for chunk in new:
-            text = chunk if self.lower else chunk[1:] if chunk[:1] == "\0" else " " + chunk
-            if self.lower and not chunk.isascii() and ("Σ" in chunk or not unicodedata.is_normalized("NFC", chunk)):
-                whole.append(chunk)
+        chunks, memory, old_chunks, old_memory = self.chunks, self.memory, self.old_chunks, self.old_memory
+        cuts = {}
+        for c in new:
+            if (ids := old_chunks.get(c)) is not None:
+                chunks[c] = ids
             else:
-                pieces[chunk] = self.words.findall(text.lower() if self.lower and text.isascii() else text)
-        missing = list({w for ws in pieces.values() for w in ws} - self.memory.keys())
-        for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
-            self.memory.update(zip(part, self.ask(part), strict=True))
-        self.chunks.update((c, b"".join([self.memory[w] for w in ws])) for c, ws in pieces.items())
-        self.chunks.update(zip(whole, self.ask(whole), strict=True))
+                cuts[c] = self.pieces(c)
+        lacking = []
+        for w in {w for ws in cuts.values() if ws for w in ws}:
+            if w not in memory:
+                if (ids := old_memory.get(w)) is not None:
+                    memory[w] = ids
+                else:
+                    lacking.append(w)
+        self.ask_words(lacking)
+        whole = [c for c, ws in cuts.items() if ws is None]
+        for c, ws in cuts.items():
+            if ws is not None:
+                chunks[c] = memory[ws[0]] if len(ws) == 1 else b"".join([memory[w] for w in ws])
+        chunks.update(zip(whole, self.ask(whole), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        return [ids for at in range(0, len(texts), TEXTS_AT_ONCE) for ids in self.encode_some(texts[at : at + TEXTS_AT_ONCE])]
+
+    def encode_some(self, texts: list[str]) -> list[bytes]:
+        if len(self.chunks) > MOST:
+            self.chunks, self.old_chunks = {}, self.chunks
+        if len(self.memory) > MOST:
+            self.memory, self.old_memory = {}, self.memory
         cuts = [self.cut(t) for t in texts]
-        out: list[bytes] = []
-        for text, chunks in zip(texts, cuts, strict=True):
-            if chunks is None:
-                out.append(self.ask([text])[0])
-                continue
-            get = self.chunks.get
-            found = [get(c) for c in chunks]
-            if None in found:
-                self.learn({c for c, ids in zip(chunks, found, strict=True) if ids is None})
-                found = [self.chunks[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
-            out.append(b"".join(found))
-        return out
+        known = self.chunks
+        self.learn([c for c in set().union(*[c for c in cuts if c is not None]) if c not in known])
+        get = known.__getitem__
+        return [self.ask([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cuts, strict=True)]
