@@ -13,12 +13,13 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
 from .common import tokenizer_path
 
-MOST = 500_000
+MOST = 600_000
 TEXTS_AT_ONCE = 200
 #: The word patterns in the two tokenizer files, and white space other than a space or a line end.
 BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,86 +43,98 @@ class Encoder:
         # words are asked for in lines; the mark between them is one id that no word without the mark has
         self.mark = " | " if self.lower else "\n"
         (self.mark_id,) = self.library.encode(self.mark, add_special_tokens=False).ids
-        # ids of chunks and of words; what is used often outlives a change of generation
-        self.chunks: dict[str, bytes] = {}
+        # ids of chunks and words; what is used often outlives a change of generation
         self.memory: dict[str, bytes] = {}
-        self.old_chunks: dict[str, bytes] = {}
-        self.old_memory: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ask_words(self, words: list[str]) -> None:
-        """Put the ids of ``words`` into the memory."""
+    def ask_words(self, keys: list[str]) -> None:
+        """Put the ids of words into the memory."""
         mark = self.mark.strip(" ")
-        plain = [w for w in words if mark not in w and not w[-1:].isspace()]
-        rest = [w for w in words if mark in w or w[-1:].isspace()]
-        lines = [plain[i : i + 200] for i in range(0, len(plain), 200)]
-        for line, found in zip(lines, self.ask([self.mark.join(line) for line in lines]), strict=True):
+        words = keys if self.lower else [k[1:] if k[0] == "\0" else " " + k for k in keys]
+        odd = [i for i, w in enumerate(words) if mark in w or w[-1].isspace()]
+        if odd:
+            self.memory.update(zip([keys[i] for i in odd], self.ask([words[i] for i in odd]), strict=True))
+            gone = set(odd)
+            keys, words = [k for i, k in enumerate(keys) if i not in gone], [w for i, w in enumerate(words) if i not in gone]
+        lines = [words[i : i + 200] for i in range(0, len(words), 200)]
+        for at, found in enumerate(self.ask([self.mark.join(line) for line in lines])):
             ends = (4 * np.flatnonzero(np.frombuffer(found, "<u4") == self.mark_id)).tolist()
             own = [found[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(found)], strict=True)]
-            self.memory.update(zip(line, own, strict=True))
-        self.memory.update(zip(rest, self.ask(rest), strict=True))
+            self.memory.update(zip(keys[200 * at : 200 * at + 200], own, strict=True))
 
     def cut(self, text: str) -> list[str] | None:
-        """The chunks of ``text``, the first marked as it has no space before it; None if it may not be cut."""
+        """The chunks of ``text``, marked where a line begins as no space is before them; None if it may not be cut."""
         if "<|" in text and any(s in text for s in self.special):
             return None
         if self.lower:
             return None if CONTROL.search(text) else text.split()
         if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or "\0" in text or OTHER_SPACE.search(text):
             return None
-        head, *rest = text.split(" ")
-        return ["\0" + head, *rest]
+        out: list[str] = []
+        for line in [text] if "\n\n" in text else text.split("\n"):
+            head, *rest = line.split(" ")
+            out += ["\n", "\0" + head] if out else ["\0" + head]
+            out += rest
+        return out
 
     def pieces(self, chunk: str) -> list[str] | None:
-        """The tokenizer's own words in a chunk; None if they can't be told apart from outside."""
+        """Keys of the tokenizer's own words in a chunk; None if they can't be told apart from outside.
+
+        A key is the word, without the space in front of it or else with a mark.
+        """
         if self.lower:
             if chunk.isascii():
                 chunk = chunk.lower()
             elif "Σ" in chunk or not unicodedata.is_normalized("NFC", chunk):
                 return None
             return [chunk] if chunk.isalpha() else self.words.findall(chunk)
-        text = chunk[1:] if chunk[:1] == "\0" else " " + chunk
-        if chunk.isalpha():
-            return [text]
-        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
-            return [text[:-1], chunk[-1]]
-        return self.words.findall(text)
+        if chunk == "\n":
+            return ["\0\n"]
+        if chunk[-1:] in (".", ",") and (chunk[:-1].isalpha() or chunk[:1] == "\0" and chunk[1:-1].isalpha()):
+            return [chunk[:-1], "\0" + chunk[-1]]
+        return [w[1:] if w[0] == " " and len(w) > 1 else "\0" + w for w in self.words.findall(chunk[1:] if chunk[:1] == "\0" else " " + chunk)]
 
     def learn(self, new: list[str]) -> None:
         """Put the ids of ``new`` chunks into the memory."""
-        chunks, memory, old_chunks, old_memory = self.chunks, self.memory, self.old_chunks, self.old_memory
-        cuts = {}
+        memory, old = self.memory, self.old
+        lacking, cuts = set(), {}
         for c in new:
-            if (ids := old_chunks.get(c)) is not None:
-                chunks[c] = ids
+            if (ids := old.get(c)) is not None:
+                memory[c] = ids
+            elif not self.lower and (c.isalpha() or c[0] == "\0" and c[1:].isalpha()):
+                lacking.add(c)
             else:
-                cuts[c] = self.pieces(c)
-        lacking = []
-        for w in {w for ws in cuts.values() if ws for w in ws}:
-            if w not in memory:
-                if (ids := old_memory.get(w)) is not None:
-                    memory[w] = ids
-                else:
-                    lacking.append(w)
-        self.ask_words(lacking)
+                cuts[c] = ws = self.pieces(c)
+                for w in ws or ():
+                    if w not in memory:
+                        if (ids := old.get(w)) is not None:
+                            memory[w] = ids
+                        else:
+                            lacking.add(w)
+        self.ask_words(list(lacking))
         whole = [c for c, ws in cuts.items() if ws is None]
+        memory.update(zip(whole, self.ask(whole), strict=True))
         for c, ws in cuts.items():
             if ws is not None:
-                chunks[c] = memory[ws[0]] if len(ws) == 1 else b"".join([memory[w] for w in ws])
-        chunks.update(zip(whole, self.ask(whole), strict=True))
+                memory[c] = b"".join([memory[w] for w in ws])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [ids for at in range(0, len(texts), TEXTS_AT_ONCE) for ids in self.encode_some(texts[at : at + TEXTS_AT_ONCE])]
 
     def encode_some(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > MOST:
-            self.chunks, self.old_chunks = {}, self.chunks
         if len(self.memory) > MOST:
-            self.memory, self.old_memory = {}, self.memory
+            self.memory, self.old = {}, self.memory
         cuts = [self.cut(t) for t in texts]
-        known = self.chunks
+        known = self.memory
         self.learn([c for c in set().union(*[c for c in cuts if c is not None]) if c not in known])
         get = known.__getitem__
         return [self.ask([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cuts, strict=True)]
+
+
+@lru_cache(maxsize=2)
+def encoder(name: str) -> Encoder:
+    """One encoder for all tasks that a worker process runs, so that it remembers words from one to the next."""
+    return Encoder(name)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .encode import Encoder
+from .encode import encoder as shared_encoder
 
 
 class BestFit:
@@ -68,7 +68,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 0,
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), struct.pack("<I", end_id)
+        encoder, end = shared_encoder(tokenizer), struct.pack("<I", end_id)
         bins = BestFit(capacity, open_bins, TaskContext.get().partitionId() << 40)
         for batch in batches:
             out: list[tuple] = []

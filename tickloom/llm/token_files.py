@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fresh_path, text_or_empty
-from .encode import Encoder
+from .encode import encoder as shared_encoder
 
 FRAME_BYTES = 1 << 20
 #: Fixed values of the public zstandard formats.
@@ -147,7 +147,7 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str = "byte_bpe_50k
     """Write the files and return (part, path, n_docs, n_tokens), one row a file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, out = Encoder(tokenizer), None, None
+        encoder, writer, out = shared_encoder(tokenizer), None, None
         wide = encoder.library.get_vocab_size() > 1 << 16
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         fs, folder = open_fs(root)
