@@ -206,7 +206,9 @@ def read_token_files(files: DataFrame, root: str) -> DataFrame:
                 starts = np.cumsum(lengths) - lengths + row["start"]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts), pa.array(lengths), pa.array([zlib.crc32(t) for t in tokens], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    frames = list_frames(files, root).repartition("path", "offset")
+    # rows are tiny but each stands for a frame, so their number of partitions is given and not merged by size
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frames = list_frames(files, root).repartition(n, "path", "offset")
     return frames.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
