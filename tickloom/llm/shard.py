@@ -11,8 +11,8 @@ grows with the table and the memory of a task does not. One counting scan finds
 bytes and rows by ``2 ** FINE_BITS`` fine buckets; buckets are runs of these.
 
 Defined results: a null text has size 1 and the checksum of no bytes; an empty
-table gives no rows; rows that repeat each other are scattered like any others
-and get slots of their own; other columns are ignored.
+table gives no rows; rows that repeat each other in doc_id and text share a bucket, so
+such rows should be few, and get slots of their own; other columns are ignored.
 """
 
 from __future__ import annotations
