@@ -218,6 +218,52 @@ def test_near_groups_on_real_rows(real):
                 assert s > 0.1 or got[i] != got[j]
 
 
+def texts_at_the_edge():
+    """Pairs of similarity exactly 0.8, a little more and a little less: words appended in a block or scattered, long and short."""
+    rng = np.random.default_rng(11)
+    word = lambda n: ["".join(rng.choice(list("abcdefghij"), 8)) for _ in range(n)]
+    out = []
+    for n, more in [(8, 1), (7, 1), (9, 1), (10, 1), (12, 2), (204, 50), (204, 49), (204, 51), (84, 20), (84, 21), (44, 10), (44, 11)] * 6:
+        base = word(n)
+        out += [" ".join(base), " ".join(base + word(more))]
+    for changed in (3, 4, 5, 6) * 6:
+        base = word(204)
+        other = list(base)
+        for at in range(10, 10 + 20 * changed, 20):
+            other[at] = "changed"
+        out += [" ".join(base), " ".join(other)]
+    return out
+
+
+def test_near_groups_at_the_similarity_equal_brute_force(spark):
+    texts = texts_at_the_edge()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()}
+    want = [jaccard(texts[i], texts[i + 1]) >= 0.8 for i in range(0, len(texts), 2)]
+    assert sum(want) > 40 and sum(not w for w in want) > 30 and sum(jaccard(texts[i], texts[i + 1]) == 0.8 for i in range(0, len(texts), 2)) >= 24
+    assert [got[i] == got[i + 1] for i in range(0, len(texts), 2)] == want
+
+
+def test_near_groups_on_real_rows_equal_brute_force(real):
+    sets = {i: {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.encode().lower().split()) else set() for i, t in pairs(real)}
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(real).collect()}
+    roots = brute_components(sorted(sets), near)
+    assert len({(got[i], roots[i]) for i in got}) == len(set(got.values())) == len(set(roots[i] for i in got))
+
+
+def test_similar_links_in_chunks_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in sorted(rng.choice(60, 57, replace=False))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    members = docs.selectExpr("doc_id AS node", "0L AS root", "xxhash64(text) AS text_key").dropDuplicates(["text_key"])
+    got = {(r["node"], r["root"]) for r in simhash.components(simhash.similar_links(docs, members, 5, simhash.Fraction("0.8"), chunk=25)).collect()}
+    kept = sorted(r["node"] for r in members.collect())
+    roots = brute_components(kept, lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    least = {r: min(i for i in kept if roots[i] == r) for r in set(roots.values())}
+    assert got == {(i, least[roots[i]]) for i in kept if sum(roots[j] == roots[i] for j in kept) > 1}
+
+
 ITEMS = [
     (1, "Tom has 12 apples and gives 5 apples to Mary, how many apples does Tom have left after lunch?"),
     (2, "The quick brown fox jumps over the lazy dog near the quiet river bank every single morning"),

@@ -28,12 +28,14 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, product
+from math import acos, ceil, comb, pi
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
@@ -232,6 +234,13 @@ def compare_runs(keys: np.ndarray, words: np.ndarray, nodes: np.ndarray, radius:
     return (np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])) if out else (empty, empty)
 
 
+def chunk_pairs() -> Column:
+    """The pairs of chunks that a row's ``node`` belongs to, of ``chunks`` ones; a single part without them."""
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.least(i, own) * F.lit(1 << 16) + F.greatest(i, own))
+    return F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(others))
+
+
 def links(keyed: DataFrame, radius: int, words: int, chunk: int = 2048) -> DataFrame:
     """Distinct links (u, v), u > v, among rows (tbl, key, node, fp): fp is a long, or binary if it has more words."""
 
@@ -257,10 +266,7 @@ def links(keyed: DataFrame, radius: int, words: int, chunk: int = 2048) -> DataF
             yield compared(held)
 
     big = keyed.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("tbl", "key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.least(i, own) * F.lit(1 << 16) + F.greatest(i, own))
-    parts = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(others))
-    dealt = keyed.join(big, ["tbl", "key"], "left").withColumn("part", F.explode(parts)).withColumn("run", F.xxhash64("tbl", "key", "part"))
+    dealt = keyed.join(big, ["tbl", "key"], "left").withColumn("part", F.explode(chunk_pairs())).withColumn("run", F.xxhash64("tbl", "key", "part"))
     ordered = dealt.repartition("run").sortWithinPartitions("run").select("run", "node", "fp")
     return ordered.mapInArrow(run, "u long, v long").distinct()
 
@@ -295,40 +301,147 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFr
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int, words: int, key_words: int, band_bits: int) -> DataFrame:
-    """(doc_id, fp, keys): a wide fingerprint of the shingles, and the bands of one of the single words."""
-    bands = key_words * 64 // band_bits
-    weights = (1 << np.arange(band_bits, dtype=np.int64)).astype(np.int64)
+def flip_share(similarity: Fraction, most: int = 8) -> float:
+    """The largest chance that one bit differs for two sets of at least that similarity.
+
+    Ties make it largest where the sets are small; sets that share everything
+    but ``most`` elements are at the limit that holds for large ones.
+    """
+
+    def above(n: int, least: int) -> float:
+        return sum(comb(n, k) for k in range(max(0, least), n + 1)) / 2**n
+
+    worst = acos(2 * similarity / (1 + similarity)) / pi
+    for apart in range(1, most + 1):
+        least = ceil(apart * similarity / (1 - similarity))
+        for shared, left in product((least, least + 1), range(apart + 1)):
+            n, m = shared + left, shared + apart - left
+            found = 0.0
+            for k in range(shared + 1):
+                p, q = above(left, n // 2 + 1 - k), above(apart - left, m // 2 + 1 - k)
+                found += comb(shared, k) / 2**shared * (p * (1 - q) + q * (1 - p))
+            worst = max(worst, found)
+    return worst
+
+
+def common_shingles(docs: DataFrame, shingle: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that three texts or more of a sample have, sorted, and how many; they only set an order, never a result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, shingle)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))], names=["h"])
+
+    rows = docs.count()
+    chosen = docs.select(text_or_empty().alias("text")).sample(min(1.0, sample / max(rows, 1)), SEED)
+    counts = chosen.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").toArrow()
+    hashes = counts.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], counts.column("n").to_numpy()[order]
+
+
+def signatures(docs: DataFrame, ids: list[str], shingle: int, similarity: Fraction, words: int, sample: int) -> DataFrame:
+    """(ids, text_key, node, fp, keys): equal shingle sets are one node; keys are its rarest shingles.
+
+    With n shingles, n - ceil(similarity n) + 1 of them are keys, in one order for
+    all texts, so two similar texts always have a key in common.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        known, counts = shared.value
         for batch in batches:
-            fps, keys = [], []
+            nodes, fps, keys = [], [], []
             for text in batch.column("text").to_pylist():
-                fps.append(fingerprint(np.unique(shingle_hashes(text, shingle)), words).tobytes())
-                bits = np.unpackbits(fingerprint(shingle_hashes(text, 1, distinct=True), key_words).view(np.uint8), bitorder="little")
-                keys.append((bits[: bands * band_bits].reshape(bands, band_bits) @ weights).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
+                hashes = np.unique(shingle_hashes(text, shingle))
+                nodes.append(signed(xxh64_intdigest(hashes.tobytes(), SEED)))
+                fps.append(fingerprint(hashes, words).tobytes())
+                rank = np.zeros(len(hashes), dtype=np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    rank = np.where(known[at] == hashes, counts[at], 0)
+                size = len(hashes) - ceil(similarity * len(hashes)) + 1 if len(hashes) else 0
+                keys.append(hashes[np.argsort(rank, kind="stable")[:size]].view(np.int64))
+            own = [batch.column(c) for c in [*ids, "text_key"]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(nodes, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=[*ids, "text_key", "node", "fp", "keys"])
+
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ids)
+    rows = docs.select(*ids, F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, f"{kinds}, text_key long, node long, fp binary, keys array<long>")
+
+
+def similar_lanes(sets: list[np.ndarray], similarity: Fraction) -> np.ndarray:
+    """For each set the first one of its component, by exact Jaccard similarity; pairs already joined are skipped."""
+    n, labels = len(sets), np.arange(len(sets))
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    places = np.split(flat, np.cumsum(sizes)[:-1])
+    marks = np.zeros(len(flat), dtype=np.int64)
+    for i in range(n - 1):
+        others = np.nonzero(labels[i + 1 :] != labels[i])[0] + i + 1
+        if not len(others):
+            continue
+        marks[places[i]] = 1
+        both = np.add.reduceat(marks[np.concatenate([places[j] for j in others])], np.concatenate([[0], np.cumsum(sizes[others])[:-1]]))
+        marks[places[i]] = 0
+        near = others[both * similarity.denominator >= similarity.numerator * (sizes[i] + sizes[others] - both)]
+        if len(near):
+            labels = join_labels(labels, np.full(len(near), i), near)
+    return labels
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary, keys array<long>")
 
+def similar_links(docs: DataFrame, members: DataFrame, shingle: int, similarity: Fraction, chunk: int = 1024) -> DataFrame:
+    """Links (u, v) of nodes with that exact similarity inside each root of ``members`` (node, root, text_key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, key_words: int = 8, band_bits: int = 20) -> DataFrame:
+        def compared() -> pa.RecordBatch:
+            nodes = np.array(list(held), dtype=np.int64)
+            first = nodes[similar_lanes(list(held.values()), similarity)] if len(held) else nodes
+            linked = first != nodes
+            return pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(first[linked])], names=["u", "v"])
+
+        for batch in batches:
+            for key, node, text in zip(*[batch.column(c).to_pylist() for c in ("run", "node", "text")], strict=True):
+                if key != at:
+                    yield compared()
+                    at, held = key, {}
+                held[node] = np.unique(shingle_hashes(text, shingle))
+        yield compared()
+
+    big = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")).where("chunks > 1")
+    rows = docs.select(F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
+    texts = rows.join(members.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
+    dealt = texts.join(members, "text_key").join(big, "root", "left").withColumn("part", F.explode(chunk_pairs())).withColumn("run", F.xxhash64("root", "part"))
+    return dealt.repartition("run").sortWithinPartitions("run").select("run", "node", "text").mapInArrow(run, "u long, v long").distinct()
+
+
+def near_rows(docs: DataFrame, ids: list[str], shingle: int = 5, similarity: float = 0.8, words: int = 4, sample: int = 10_000) -> DataFrame:
+    """(ids, root) per row: the groups of ``near_groups``."""
+    exact, bits = Fraction(str(similarity)), 64 * words
+    share = flip_share(exact)
+    radius = int(bits * share + 6 * np.sqrt(bits * share * (1 - share)))
+    rows = cut(signatures(docs, ids, shingle, exact, words, sample))
+    nodes = rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.min("fp").alias("fp"))
+    dealt = rows.select(F.explode("keys").alias("key"), "node").repartition("key")  # without fingerprints, as most keys have one node
+    shared = dealt.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
+    keyed = cut(dealt.join(shared, "key").dropDuplicates(["key", "node"]).join(nodes.select("node", "fp"), "node").select(F.lit(0).alias("tbl"), "key", "node", "fp"))
+    maybe = cut(components(links(keyed, radius, words)).join(nodes.select("node", "text_key"), "node"))
+    roots = components(similar_links(docs, maybe, shingle, exact))
+    return rows.select(*ids, "node").join(roots, "node", "left").select(*ids, F.coalesce("root", "node").alias("root"))
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, sample: int = 10_000) -> DataFrame:
     """(doc_id, component_id) per row: groups of texts whose shingle sets have that Jaccard similarity.
 
-    The distance of two fingerprints of the distinct shingles tells their cosine
-    and so their similarity; with 256 bits its error is about 0.03, so the radius
-    allows for one standard error. Candidates share a band of the fingerprint of
-    their single words, which differs far less: at similarity 0.8 about one bit
-    in twelve, and one of 25 bands of 20 bits agrees for 99 pairs in 100.
+    Candidates share one of the keys of ``signatures``, which misses no pair, and
+    their fingerprints differ in no more bits than six standard errors above what
+    the least similar pair has, so a pair is lost once in 10 ** 8. The groups that
+    candidates form are then cut by the exact similarity of their shingle sets.
     """
-    bits = 64 * words
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    radius = int(bits * share + np.sqrt(bits * share * (1 - share)))
-    rows = cut(wide_fingerprints(docs, shingle, words, key_words, band_bits))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")).withColumn("node", F.xxhash64("fp"))
-    keyed = nodes.select("node", "fp", F.posexplode("keys").alias("tbl", "key"))
-    roots = components(links(keyed, radius, words))
-    placed = nodes.select("fp", "first_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = placed.groupBy("root").agg(F.min("first_id").alias("component_id")).join(placed, "root").select("fp", "component_id")
-    return rows.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id")
+    rows = cut(near_rows(docs, ["doc_id"], shingle, similarity, words, sample))
+    named = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(named, "root").select("doc_id", "component_id")
