@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontaminate, exact_dedup, packing, simhash, toxicity
-from tickloom.llm.common import drop_rows, fresh_path, table
+from tickloom.llm.common import fresh_path, numbered, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,13 +21,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdicts = exact_dedup.exact_dedup(docs)
-    return drop_rows(docs, verdicts.where(~F.col("kept")).select("doc_id"))
+    """One row of each text stays: of the smallest doc_id, and of equal ids the first row."""
+    rows, key = numbered(docs)
+    verdicts = exact_dedup.exact_dedup(rows, carried=(key,))
+    stay = verdicts.where("kept").groupBy("text_sha256").agg(F.min(key).alias(key)).select(key)
+    return rows.join(stay, key, "left_semi").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_groups(docs)
-    return drop_rows(docs, groups.where("doc_id <> component_id").select("doc_id"))
+    """One row of each group stays: of the smallest doc_id, and of equal ids the first row."""
+    rows, key = numbered(docs)
+    groups = simhash.near_rows(rows, ["doc_id", key])
+    stay = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key)).alias("first")).select(f"first.{key}")
+    return rows.join(stay, key, "left_semi").select(docs.columns)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

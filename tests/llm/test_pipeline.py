@@ -58,3 +58,21 @@ def test_extra_and_null_columns_pass_through(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
     out = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_copies(spark, corpus_pipeline.drop_toxic(spark, docs, SF), SF), SF)
     assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(map(repr, rows[:3]))
+
+
+def test_rows_are_dropped_by_row_and_not_by_doc_id(spark):
+    long = "the old mill by the river ground corn for every farm of the valley until the flood took its wheel and the miller went to sea"
+    toxic = "you idiot, you absolute moron"
+    rows = [
+        (None, "first fine text of one kind"), (None, "second fine text of another kind"), (None, "second  fine text of another kind"), (None, toxic),
+        (1, "a text that two rows have"), (1, "a text that two rows have"), (2, "a text that two rows have"), (2, "a text of its own under the same id"),
+        (None, "both rows have no id"), (None, "both rows have no id"), (None, long), (None, long + " again"), (3, toxic), (3, "a harmless text under one id with a toxic one"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    clean = corpus_pipeline.drop_toxic(spark, docs, SF)
+    assert sorted(map(repr, map(tuple, clean.collect()))) == sorted(repr(r) for r in rows if r[1] != toxic)
+    unique = [tuple(r) for r in corpus_pipeline.drop_copies(spark, clean, SF).collect()]
+    assert sorted((i, " ".join(t.split())) for i, t in unique if i) == [(1, "a text that two rows have"), (2, "a text of its own under the same id"), (3, "a harmless text under one id with a toxic one")]
+    assert sorted(" ".join(t.split()) for i, t in unique if not i) == ["both rows have no id", "first fine text of one kind", "second fine text of another kind", long, long + " again"]
+    near = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(unique, docs.schema), SF).collect()]
+    assert len(near) == len(unique) - 1 and len({r for r in unique if r[1].startswith(long)} & set(near)) == 1

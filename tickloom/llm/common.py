@@ -55,6 +55,13 @@ def drop_rows(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFram
     return docs.join(gone.select(F.col(key).alias(other)), docs[key].eqNullSafe(F.col(other)), "left_anti")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, and that column's name; both are written once, so a number stays with its row."""
+    key, path = f"__row_{uuid.uuid4().hex[:8]}", fresh_path(docs.sparkSession, "rows")
+    docs.withColumn(key, F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path), key
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file is; a full path stays as it is."""
     if os.sep in name:

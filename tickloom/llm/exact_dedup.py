@@ -85,11 +85,11 @@ def build_index(docs: DataFrame, capacity: int = 4096, max_depth: int = 16) -> s
     return path
 
 
-def exact_dedup(docs: DataFrame, capacity: int = 4096, max_depth: int = 16) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, bucket, chain per row of ``docs``."""
+def exact_dedup(docs: DataFrame, capacity: int = 4096, max_depth: int = 16, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, bucket, chain and the ``carried`` columns per row of ``docs``."""
     index = docs.sparkSession.read.parquet(build_index(docs, capacity, max_depth))
-    rows = docs.select("doc_id", normalised().alias("body")).select("doc_id", F.xxhash64("body").alias("hash"), F.sha2("body", 256).alias("text_sha256"))
-    return rows.join(index, ["hash", "text_sha256"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "chain")
+    rows = docs.select("doc_id", *carried, normalised().alias("body")).select("doc_id", *carried, F.xxhash64("body").alias("hash"), F.sha2("body", 256).alias("text_sha256"))
+    return rows.join(index, ["hash", "text_sha256"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "chain", *carried)
 
 
 ORACLE_SQL = r"""

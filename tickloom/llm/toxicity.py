@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_rows, text_or_empty
+from .common import cut, text_or_empty
 
 #: A small lexicon of insults, phrases that are harmless though they hold one, and look-alike characters.
 INSULTS = (
@@ -236,7 +236,14 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows predicted toxic."""
+    """``docs`` without the rows predicted toxic: each row is judged by its own text, whatever its doc_id."""
     lexicon = learn(docs, labels)
-    bad = score_documents(docs, lexicon).where("predicted = 1").select("doc_id").distinct()
-    return drop_rows(docs, bad)
+
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = lexicon.automaton()
+        for batch in texts:
+            features = np.array([lexicon.features(automaton, fold(t)) for t in batch.to_pylist()]).reshape(-1, 2)
+            yield pa.array(lexicon.score(features) < 0.5)
+
+    return docs.where(clean(text_or_empty()))
