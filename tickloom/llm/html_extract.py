@@ -13,7 +13,8 @@ blocks, in varied layouts. The weights are a few hundred numbers, so tasks
 get them with the function.
 
 Defined results: a null or empty page, and one without an article, has an empty
-text; markup that breaks off is read as far as it goes; an empty table gives no
+text; markup that breaks off is read as far as it goes; text in ``math`` and
+``object`` is page text, that in scripts, styles, drawings and frames is not; an empty table gives no
 rows; repeated pages are extracted each; other columns are ignored.
 """
 
@@ -36,7 +37,8 @@ BLOCK_TAGS = frozenset(
     "head header hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul video audio".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template textarea iframe svg object math title".split())
+RAW_TAGS = frozenset("script style noscript template textarea iframe svg title".split())
+TO_THE_END = frozenset("script style".split())
 CLOSES_P = BLOCK_TAGS - {"body", "html", "head"}
 SAME_CLOSE = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article section div main aside nav header footer form body".split())
@@ -129,9 +131,12 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], int, str]]:
         closing, tag, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
         tag = tag.lower()
         if tag in RAW_TAGS and not closing:
-            end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
             parts.append(" ")
+            if tag == "svg" and attributes.rstrip().endswith("/"):
+                continue
+            end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
+            if end or tag in TO_THE_END:  # of the others, one that is never closed is only a tag
+                at = end.end() if end else n
             continue
         if tag == "a":
             in_link = not closing
