@@ -236,9 +236,9 @@ def compare_runs(keys: np.ndarray, words: np.ndarray, nodes: np.ndarray, radius:
 
 def chunk_pairs() -> Column:
     """The pairs of chunks that a row's ``node`` belongs to, of ``chunks`` ones; a single part without them."""
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.least(i, own) * F.lit(1 << 16) + F.greatest(i, own))
-    return F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(others))
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("long")
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1), lambda i: F.least(i, own) * F.lit(1 << 31) + F.greatest(i, own))
+    return F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(others))
 
 
 def links(keyed: DataFrame, radius: int, words: int, chunk: int = 2048) -> DataFrame:
