@@ -69,7 +69,7 @@ def count_batch(model, texts: list[str], call_bytes: int = CALL_BYTES, cuts: boo
         for part in cut_text(text) if cuts and len(text) > PART_CHARS else [text]:
             parts.append(part)
             owners.append(row)
-            held += len(part)
+            held += len(part) if part.isascii() else len(part.encode())
             if held >= call_bytes:
                 flush()
                 held = 0
