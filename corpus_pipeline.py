@@ -21,19 +21,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text stays: of the smallest doc_id, and of equal ids the first row."""
+    """One row of each text stays: of the smallest doc_id, nulls last, and of equal ids the first row as read."""
     rows, key = numbered(docs)
-    verdicts = exact_dedup.exact_dedup(rows, carried=(key,))
-    stay = verdicts.where("kept").groupBy("text_sha256").agg(F.min(key).alias(key)).select(key)
-    return rows.join(stay, key, "left_semi").select(docs.columns)
+    verdicts = exact_dedup.exact_dedup(rows, carried=(key,)).where("group_size > 1")
+    return without(rows, verdicts.select(key, F.col("text_sha256").alias("of"), "doc_id"), key).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays: of the smallest doc_id, and of equal ids the first row."""
+    """One row of each group stays: of the smallest doc_id, nulls last, and of equal ids the first row as read."""
     rows, key = numbered(docs)
-    groups = simhash.near_rows(rows, ["doc_id", key])
-    stay = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key)).alias("first")).select(f"first.{key}")
-    return rows.join(stay, key, "left_semi").select(docs.columns)
+    return without(rows, simhash.near_rows(rows, ["doc_id", key]).select(key, F.col("root").alias("of"), "doc_id"), key).select(docs.columns)
+
+
+def without(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``rows`` without those of ``groups`` (key, of, doc_id) that aren't the first of theirs; most rows aren't moved if few go."""
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key)
+    first = groups.groupBy("of").agg(F.min(order).alias("first")).select(F.col(f"first.{key}").alias(key))
+    return rows.join(groups.select(key).join(first, key, "left_anti"), key, "left_anti")
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
