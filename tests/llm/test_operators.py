@@ -1,7 +1,9 @@
 """Every operator against a plain brute-force version, on real rows and on odd ones."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -56,20 +58,28 @@ def test_exact_dedup(name, request):
         known = [x for x in groups[t] if x is not None]
         keep = min(known) if known else None
         want.append((i, keep, len(groups[t]), i == keep, hashlib.sha256(t.encode()).hexdigest()))
-    got = exact_dedup.exact_dedup(docs, capacity=8, max_depth=12).collect()
-    assert key(tuple(r)[:5] for r in got) == key(want)
-    assert name == "odd" or len({r["bucket"] for r in got}) > 8
+    got = exact_dedup.exact_dedup(docs, capacity=8, start=0)
+    assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert key(map(tuple, got.collect())) == key(want)
+
+
+def test_exact_dedup_without_broadcast(real, monkeypatch):
+    want = key(map(tuple, exact_dedup.exact_dedup(real).collect()))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_HASHES", 0)
+    assert key(map(tuple, exact_dedup.exact_dedup(real, capacity=16, start=0).collect())) == want
 
 
 def test_directory_splits_overfull_buckets(spark, real):
-    found = exact_dedup.entries(real)
-    rows = exact_dedup.directory(found, 10, 16).collect()
-    assert max(r["depth"] for r in rows) > 2
-    sizes = Counter()
-    by_slot = {r["slot"]: r["bucket"] for r in rows}
-    for r in found.select(exact_dedup.slot(16).alias("slot")).collect():
-        sizes[by_slot[r["slot"]]] += 1
-    assert max(sizes.values()) <= 10
+    hashes = exact_dedup.marks(real).select("hash").distinct()
+    own = sorted(r["hash"] % 2**64 for r in hashes.collect())
+    found = exact_dedup.Directory(hashes, 10, 0)
+    rows = found.place(hashes).collect()
+    sizes = Counter((r["depth"], r["bucket"]) for r in rows)
+    assert max(sizes.values()) <= 10 and max(r["depth"] for r in rows) > 2
+    for r in rows:  # a bucket is as shallow as it can be
+        h, d = r["hash"] % 2**64, r["depth"]
+        assert r["bucket"] == (h >> 1) >> (63 - d) << (63 - d)
+        assert sum(x >> (64 - d) == h >> (64 - d) for x in own) <= 10 and (not d or sum(x >> (65 - d) == h >> (65 - d) for x in own) > 10)
 
 
 @pytest.mark.parametrize("name", ["real", "odd"])
@@ -97,14 +107,22 @@ def test_sharding(name, request):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
-def test_sharding_in_many_buckets(real):
-    got = shard.shard(real, n_shards=7, bucket_bytes=20_000).collect()
-    places = sorted(r["slot"] * 7 + r["shard"] for r in got)
-    assert places == list(range(len(got)))
-    order = [r["doc_id"] for r in sorted(got, key=lambda r: r["slot"] * 7 + r["shard"])]
+def test_sharding_in_many_buckets(spark, real):
+    def written():
+        return shard.write_shards(real, fresh_path(spark, "test-shards"), n_shards=7, bucket_bytes=20_000).collect()
+
+    got = written()
+    assert key((r["doc_id"], r["text"]) for r in got) == key(pairs(real))
+    order = [r["doc_id"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
     assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.25
-    again = {(r["doc_id"], r["shard"], r["slot"]) for r in shard.shard(real, n_shards=7, bucket_bytes=20_000).collect()}
-    assert again == {(r["doc_id"], r["shard"], r["slot"]) for r in got}
+    assert key(map(tuple, written())) == key(map(tuple, got))
+
+
+def test_sharding_splits_a_bucket_of_equal_rows(spark):
+    docs = spark.createDataFrame([(1, "the same words again")] * 500 + [(i, f"text {i}") for i in range(40)], "doc_id long, text string").repartition(3)
+    got = shard.shard_digest(docs, 4, bucket_bytes=200).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in docs.collect())
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, i) for s in range(4) for i in range(135)]
 
 
 def brute_fingerprint(text, k):
@@ -303,6 +321,27 @@ def test_decontamination(spark):
     assert decontaminate.leaked_documents(frame, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_number_heavy_and_short_items(spark):
+    filler = "nothing to see here at all just words that fill the page and go on "
+    items = [("a", "Compute 12 + 34 - 5 * 6 / 2 + 9 and give 3 digits"), ("b", "What is 3 + 4 * 5 - 2?"), ("c", "Name the largest moon of Saturn"), ("d", "Yes or no"), ("e", "1 2 3 4 5 6 7 8 9 10 11 12 13 14")]
+    docs = [
+        (1, filler + "so. " + items[0][1] + " " + filler, "a"),
+        (2, filler + "so. Compute 77 + 21 - 8 * 1 / 4 + 6 and give 5 digits " + filler, "a"),  # other numbers throughout
+        (3, filler + "what is 8 + 1 * 9 - 7? " + filler, "b"),
+        (4, filler + "what is 3 + 4 and 5 - 2 " + filler, None),
+        (5, filler + "please name the largest moon of saturn now", "c"),
+        (6, filler + "the largest moon of saturn", None),
+        (7, filler + "yes or no " + filler, None),
+        (8, "Yes, or no!", "d"),
+        (9, filler + " ".join(map(str, range(1, 15))), "e"),
+        (10, " ".join(map(str, range(20, 2000))), None),  # numbers alone are no template
+        (11, filler + "what is 8 + 8 * 9 - 7? " + filler, "b"),
+    ]
+    frame = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    got = {r["doc_id"]: r["item_id"] for r in decontaminate.leaked_documents(frame, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert got == {i: item for i, _, item in docs if item}
+
+
 def test_decontamination_against_brute_force(spark, real):
     items = table(spark, SF, "benchmark")
 
@@ -363,6 +402,14 @@ def test_html_extraction_of_real_pages(spark):
         assert html_extract.main_text(chain, r["html"]) == "\n\n".join(p for p in parts if p)
 
 
+def test_html_extraction_of_formulas_and_open_tags():
+    chain = html_extract.trained()
+    text = "<p>The energy of a body at rest follows from its mass, as everyone has read in school, and it is large.</p>"
+    page = f"<body><article><h1>On energy</h1>{text}<p>We write <math><mi>E</mi>=<mi>mc2</mi></math> for it.</p><svg/>{text}<p><iframe src='x'>After the frame that is never closed, the text goes on as before.</p></article></body>"
+    found = html_extract.main_text(chain, page)
+    assert "We write E=mc2 for it." in found and found.count("The energy of a body") == 2 and "goes on as before." in found
+
+
 @pytest.mark.parametrize("tokenizer", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_remembered_words_give_the_library_ids(tokenizer, real):
     from tokenizers import Tokenizer
@@ -374,6 +421,18 @@ def test_remembered_words_give_the_library_ids(tokenizer, real):
     assert own.encode(texts) == want and own.encode(texts) == want
 
 
+@pytest.mark.parametrize("tokenizer", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_the_library_on_random_texts(tokenizer, monkeypatch):
+    rng = random.Random(11)
+    parts = ["a", "B", "'s", "'", "\n", "\n\n", " ", "  ", "\t", ".", ",", "9", "12", "\u00e9", "e\u0301", "\u03a3", "\u0130", "<|endoftext|>", "<|", "|", "\x01", "\x02", "\x1c", "\u3000", " word", "Don't", "%%%", "-", "\u65e5", "\u00df", "\x00", "\r\n", "\u2026", " | ", "\ufb01"]
+    own = encode.Encoder(tokenizer)
+    monkeypatch.setattr(encode, "MOST", 300)  # generations change often
+    monkeypatch.setattr(encode, "SLICE_BYTES", 4000)
+    for _ in range(8):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(400)]
+        assert own.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in own.library.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("name", ["real", "odd"])
 def test_token_files(name, request, spark):
     from tokenizers import Tokenizer
@@ -515,6 +574,40 @@ def test_personal_data_candidates_and_redaction(spark):
     assert text == {3: "pay <card> to <email> now", 4: ""}
 
 
+def test_personal_data_in_a_text_of_many_matches(spark):
+    many = " ".join(f"u{i}@host{i % 7}.example.com" for i in range(20_000)) + " (017) 555-7713" * 300
+    docs = spark.createDataFrame([(1, many)], "doc_id long, text string")
+    start = time.monotonic()
+    (row,) = pii.personal_data_digest(docs).collect()
+    assert time.monotonic() - start < 60
+    assert row["n_email"] == 20_000 and row["base_sha256"] == hashlib.sha256(",".join(brute_base(many)).encode()).hexdigest()
+
+
+def test_added_spans_of_labelled_texts(spark):
+    """Planted secrets, phone numbers without a country and spelled-out addresses, and look-alikes that are none."""
+    rng = random.Random(3)
+    words = "the river runs past old mill house and green field while people walk home".split()
+    filler = lambda: " ".join(rng.choices(words, k=8))
+    rows, planted = [], {}
+    for i in range(600):
+        key = "".join(rng.choices("0123456789abcdef", k=rng.choice([18, 32, 40])))
+        found = [f'token = "{key}"', f"password={key}", "AKIA" + "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZ234567", k=16)), f"call ({rng.randint(201, 989)}) 555-{rng.randint(1000, 9999)}"][i % 4]
+        clean = [f"order 1{rng.randint(10**8, 10**9 - 1)}", f"version {rng.randint(1, 99)}.{rng.randint(0, 9)}", f"in {rng.randint(1000, 2100)}", "AKIAbc and token ring"][i % 4]
+        before, middle = filler() + " ", f" {filler()} {clean} "
+        span = found[5:] if found.startswith("call ") else found
+        at = len(before) + len(found) - len(span)
+        rows.append((i, before + found + middle))
+        planted[i] = (at, at + len(span))
+    out = {r["doc_id"]: [tuple(map(int, s.split(":")[1:])) for s in filter(None, r["spans"].split(","))] for r in pii.personal_data_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = sum(planted[i] in found for i, found in out.items())
+    total = sum(map(len, out.values()))
+    assert hit / len(planted) > 0.9, hit
+    assert hit / total > 0.9, total
+    for found in out.values():
+        found.sort()
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+
+
 def test_estimates_of_labelers():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4
@@ -543,7 +636,7 @@ def test_toxicity_on_rows_it_never_learned_from(spark):
     hit = sum(r["predicted"] == 1 == r["toxic"] for r in scored)
     assert hit / max(1, sum(r["predicted"] for r in scored)) > 0.9
     assert all(0 <= r["score"] <= 1 for r in scored)
-    print("recall", hit / sum(r["toxic"] for r in scored))
+    assert hit / sum(r["toxic"] for r in scored) > 0.9
 
 
 def test_toxicity_odd_rows(spark, odd, empty):

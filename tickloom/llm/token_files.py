@@ -88,6 +88,12 @@ class FrameWriter:
         if self.held * (4 if self.wide else 2) >= FRAME_BYTES:
             self.flush()
 
+    def add_all(self, doc_ids: list[int | None], tokens: np.ndarray, ends: np.ndarray) -> None:
+        first = 0
+        for doc_id, last in zip(doc_ids, ends.tolist(), strict=True):
+            self.add(doc_id, tokens[first:last])
+            first = last
+
     def flush(self) -> None:
         if not self.ids:
             return
@@ -152,7 +158,6 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str = "byte_bpe_50k
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         fs, folder = open_fs(root)
         path = f"{folder}/part-{part:06d}.zst"
-        end = struct.pack("<I", end_id)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -160,9 +165,10 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str = "byte_bpe_50k
                 fs.create_dir(folder, recursive=True)
                 out = fs.open_output_stream(f"{path}.{attempt}")
                 writer = FrameWriter(out, wide)
-            encoded = encoder.encode(batch.column("text").to_pylist())
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
-                writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
+            rows = batch.column("doc_id").to_pylist()
+            for at, ids, ends in encoder.slices(batch.column("text")):
+                with_end = np.insert(ids, ends, end_id)
+                writer.add_all(rows[at : at + len(ends)], with_end, ends + np.arange(1, len(ends) + 1))
         if writer is not None:
             writer.close()
             out.close()
