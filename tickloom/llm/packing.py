@@ -67,24 +67,26 @@ class BestFit:
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 0, capacity: int = 2048, open_bins: int = 256) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece."""
 
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = shared_encoder(tokenizer), struct.pack("<I", end_id)
         bins = BestFit(capacity, open_bins, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            out: list[tuple] = []
-            for row, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((row, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            placed = [None] * len(out)
-            for at in sorted(range(len(out)), key=lambda i: -out[i][3]):
-                placed[at] = bins.place(out[at][3])
-            rows = [a + b for a, b in zip(out, placed, strict=True)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            kinds = [batch.schema.field("doc_id").type, pa.int32(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            rows = batch.column("doc_id")
+            for at, ids, ends in encoder.slices(batch.column("text")):
+                flat, took, out, first = ids.tobytes(), [], [], 0
+                for row, last in enumerate((4 * ends).tolist(), at):
+                    for piece, start in enumerate(range(first, last + 1, 4 * capacity)):
+                        part = flat[start : min(start + 4 * capacity, last)]
+                        if len(part) < 4 * capacity:
+                            part += end  # the end id comes after the last id, in a piece of its own if need be
+                        out.append((piece, piece * capacity, len(part) // 4, zlib.crc32(part), *bins.place(len(part) // 4)))
+                        took.append(row)
+                    first = last
+                columns = list(zip(*out, strict=True)) or [[]] * 6
+                kinds = [pa.int32(), *[pa.int64()] * 5]
+                yield pa.RecordBatch.from_arrays([rows.take(pa.array(took, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
