@@ -1,80 +1,155 @@
 """Candlestick detectors: one projection over one shared window.
 
 A detector is a predicate over the columns that ``components`` makes: o, h, l, c of
-the bar and o1..c4 of the bars before, body b, range r, shadows us and ls, and the
-20-bar means B and R of body and range (5 bars at least). A null counts as false.
+the bar and, with a number behind, of the bars before (o1 to c4); body b, range r and
+shadows us and ls; the 20-bar means mb, mr and mc of body, range and close (5 bars at
+least) and med, the 20-bar median of the body; quantiles; the trend state; and what the
+bars after do. A null counts as false. The background looks back 120 bars, and
+confirmation takes 5 bars, which is what histories of 120 bars and more have.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import ordered, sma
+from ..functions.rolling import ordered, rolling_quantile, sma, trend_state
 
-PREDICATES: dict[str, tuple[str, str]] = {
-    # one bar
-    "doji": ("neutral", "r > 0 and b / nullif(r, 0) < 0.08"),
-    "long_doji": ("neutral", "r > 0 and b / nullif(r, 0) < 0.08 and us > 0.4 * R and ls > 0.4 * R"),
-    "spinning_top": ("neutral", "r > 0 and b / nullif(r, 0) >= 0.08 and b / nullif(r, 0) < 0.25 and us > 0.15 * R and ls > 0.15 * R"),
-    "big_bull": ("bullish", "c > o and b > 2 * B and b / nullif(r, 0) > 0.85"),
-    "big_bear": ("bearish", "c < o and b > 2 * B and b / nullif(r, 0) > 0.85"),
-    "t_shape": ("bullish", "o = c and o = h and l < o"),
-    "inverted_t": ("bearish", "o = c and o = l and h > o"),
-    "one_line": ("neutral", "o = c and h = l"),
-    "hammer_shape": ("bullish", "r > 0 and ls / nullif(r, 0) >= 0.55 and us / nullif(r, 0) <= 0.10 and b / nullif(r, 0) <= 0.30"),
-    "shooting_star_shape": ("bearish", "r > 0 and us / nullif(r, 0) >= 0.55 and ls / nullif(r, 0) <= 0.10 and b / nullif(r, 0) <= 0.30"),
-    # two bars
-    "bullish_engulfing": ("bullish", "c1 < o1 and c > o and o <= c1 and c >= o1 and b > abs(c1 - o1) and b / nullif(r, 0) >= 0.20"),
-    "bearish_engulfing": ("bearish", "c1 > o1 and c < o and o >= c1 and c <= o1 and b > abs(c1 - o1) and b / nullif(r, 0) >= 0.20"),
-    "bullish_harami": ("bullish", "c1 < o1 and c > o and o > c1 and c < o1 and h <= h1 and l >= l1 and b < 0.55 * B"),
-    "bearish_harami": ("bearish", "c1 > o1 and c < o and o < c1 and c > o1 and h <= h1 and l >= l1 and b < 0.55 * B"),
-    "piercing": ("bullish", "c1 < o1 and abs(c1 - o1) > B1 and c > o and o < c1 * 0.995 and c > (o1 + c1) / 2 and c < o1"),
-    "dark_cloud": ("bearish", "c1 > o1 and abs(c1 - o1) > B1 and c < o and o > c1 * 1.005 and c < (o1 + c1) / 2 and c > o1"),
-    "meeting_lines": ("neutral", "(c1 - o1) * (c - o) < 0 and abs(c - c1) <= 0.05 * R and b > B and abs(c1 - o1) > B1"),
-    "tweezer_top": ("bearish", "abs(h - h1) <= 0.003 * R and c1 > o1 and c < o"),
-    "tweezer_bottom": ("bullish", "abs(l - l1) <= 0.003 * R and c1 < o1 and c > o"),
-    "sun": ("bullish", "c1 < o1 and abs(c1 - o1) > B1 and c > o and b > B and o > c1 + 0.3 * R and c > o1"),
-    "rain": ("bearish", "c1 > o1 and abs(c1 - o1) > B1 and c < o and b > B and o < c1 - 0.3 * R and c < o1"),
-    # three bars
-    "morning_star": ("bullish", "c2 < o2 and abs(c2 - o2) > B2 and abs(c1 - o1) < 0.25 * (h1 - l1) and c > o and c > (o2 + c2) / 2"),
-    "evening_star": ("bearish", "c2 > o2 and abs(c2 - o2) > B2 and abs(c1 - o1) < 0.25 * (h1 - l1) and c < o and c < (o2 + c2) / 2"),
-    "three_red": ("bullish", "c > o and c1 > o1 and c2 > o2 and c > c1 and c1 > c2 and o > o1 and o < c1 and o1 > o2 and o1 < c2"),
-    "three_crows": ("bearish", "c < o and c1 < o1 and c2 < o2 and c < c1 and c1 < c2 and o < o1 and o > c1 and o1 < o2 and o1 > c2"),
-    "limping": ("bearish", "c > o and c1 > o1 and c2 > o2 and c < c1 and c1 < c2"),
-    "two_crows": ("bearish", "c2 > o2 and abs(c2 - o2) > B2 and c1 < o1 and c1 > c2 and c < o and o > c1 and c < c1"),
-    "three_gap_rise": ("bearish", "o > c1 and o1 > c2 and c > o and c1 > o1 and c2 > o2"),
-    "three_gap_decline": ("bullish", "o < c1 and o1 < c2 and c < o and c1 < o1 and c2 < o2"),
-    # five bars
-    "rising_three_methods": ("bullish", "c4 > o4 and abs(c4 - o4) > B4 and least(l3, l2, l1) >= o4 and c > o and b > B and c > greatest(h3, h2, h1)"),
-    "falling_three_methods": ("bearish", "c4 < o4 and abs(c4 - o4) > B4 and greatest(h3, h2, h1) <= o4 and c < o and b > B and c < least(l3, l2, l1)"),
-    "falling_three_stars": ("bearish", "c4 < o4 and abs(c4 - o4) > 1.5 * B4 and greatest(c3, c2, c1, o3, o2, o1) < l4 and c < o and b > 1.5 * B and c < least(l3, l2, l1)"),
-}
-GROUPS = {
-    "single": ("doji", "long_doji", "spinning_top", "big_bull", "big_bear", "t_shape", "inverted_t", "one_line", "hammer_shape", "shooting_star_shape"),
-    "two_bar": ("bullish_engulfing", "bearish_engulfing", "bullish_harami", "bearish_harami", "piercing", "dark_cloud", "meeting_lines", "tweezer_top", "tweezer_bottom", "sun", "rain"),
-    "three_bar": ("morning_star", "evening_star", "three_red", "three_crows", "limping", "two_crows", "three_gap_rise", "three_gap_decline"),
-    "five_bar": ("rising_three_methods", "falling_three_methods", "falling_three_stars"),
-}
+LONG_UPPER = "us / nullif(r, 0) > 0.55 and ls / nullif(r, 0) < 0.10 and b / nullif(r, 0) < 0.30"
+LONG_LOWER = "ls / nullif(r, 0) > 0.55 and us / nullif(r, 0) < 0.10 and b / nullif(r, 0) < 0.30"
+BOTH_SOLID = "b1 >= 0.55 * med1 and b1 / nullif(r1, 0) >= 0.20 and b >= 0.55 * med and b / nullif(r, 0) >= 0.20"
+TOLERANCE = "greatest(0.05 * mr, 0.001 * abs(c))"
+INSIDE = (
+    f"greatest(o, c) <= greatest(o1, c1) + {TOLERANCE} and least(o, c) >= least(o1, c1) - {TOLERANCE} and b < 0.55 * mb and "
+    f"(h <= greatest(o1, c1) + {TOLERANCE} and l >= least(o1, c1) - {TOLERANCE} or h <= h1 + {TOLERANCE} and l >= l1 - {TOLERANCE})"
+)
+BIG_DOWN_UP, BIG_UP_DOWN = "c1 < o1 and b1 > mb1 and c > o and b > mb", "c1 > o1 and b1 > mb1 and c < o and b > mb"
+STAR_UP = "c2 < o2 and b2 > mb2 and c > o and b > mb and c > (o2 + c2) / 2 and r2 > 0"
+STAR_DOWN = "c2 > o2 and b2 > mb2 and c < o and b > mb and c < (o2 + c2) / 2 and r2 > 0"
+RISING = "c > o and c1 > o1 and c2 > o2 and c > c1 and c1 > c2"
+FALLING = "c < o and c1 < o1 and c2 < o2 and c < c1 and c1 < c2"
+SOLDIERS = f"{RISING} and b2 > mb2 and b1 > mb1 and b > mb and ls2 / b2 < 0.1 and ls1 / b1 < 0.1 and ls / b < 0.1 and o1 >= (o2 + c2) / 2 and o >= (o1 + c1) / 2"
+BLOCK = f"{RISING} and b2 > b1 and b1 > b and us2 < us1 and us1 < us"
+PAIRED = "c1 > o1 and c > o and b1 > 0 and abs(b1 - b) / b1 <= 0.30 and after >= 1"
+
+#: Name: direction, bars, predicate.
+PREDICATES: dict[str, tuple[str, int, str]] = {
+    "doji": ("bear", 1, "b / nullif(r, 0) < 0.08"),
+    "long_legged_doji": ("bear", 1, "b / nullif(r, 0) < 0.08 and us > 0.4 * mr and ls > 0.4 * mr"),
+    "spinning_top": ("bull", 1, "b / nullif(r, 0) >= 0.08 and b / nullif(r, 0) < 0.25 and us > 0.15 * mr and ls > 0.15 * mr"),
+    "long_cross": ("neutral", 1, "b / nullif(r, 0) < 0.08 and us / nullif(r, 0) > 0.25 and ls / nullif(r, 0) > 0.25"),
+    "propeller": ("neutral", 1, "b / nullif(r, 0) between 0.08 and 0.25 and b / nullif(r, 0) < 0.25 and us / r > 0.25 and ls / r > 0.25 and abs(us - ls) / r < 0.10"),
+    "t_shape": ("neutral", 1, "o = c and c = h and l < c"),
+    "inverted_t": ("neutral", 1, "o = c and c = l and h > c"),
+    "one_line": ("neutral", 1, "o = c and c = h and h = l"),
+    "shooting_star": ("bear", 1, f"{LONG_UPPER} and h > high_mark"),
+    "inverted_hammer": ("bull", 1, f"{LONG_UPPER} and l < low_mark"),
+    "hammer": ("bull", 1, f"{LONG_LOWER} and l < low_mark and state = 'downtrend' and after = 5 and least_close >= l"),
+    "hanging_man": ("neutral", 1, f"{LONG_LOWER} and h > high_mark and state = 'uptrend' and after = 5 and least_low < l"),
+    "high_open_escape": ("bear", 1, "b > 1.8 * mb and o > high5 * (1 + mr / mc * 0.5) and us / nullif(r, 0) < 0.08 and (c - l) / nullif(r, 0) < 0.15"),
+    "low_open_surge": ("bull", 1, "b > 1.8 * mb and o < low5 * (1 - mr / mc * 0.5) and ls / nullif(r, 0) < 0.08 and (h - c) / nullif(r, 0) < 0.15"),
+    "bullish_engulfing": ("bull", 2, f"c1 < o1 and c > o and {BOTH_SOLID} and o <= c1 + abs(c) * 1e-4 and c >= o1 - abs(c) * 1e-4"),
+    "bearish_engulfing": ("bear", 2, f"c1 > o1 and c < o and {BOTH_SOLID} and o >= c1 - abs(c) * 1e-4 and c <= o1 + abs(c) * 1e-4"),
+    "piercing": ("bull", 2, f"{BIG_DOWN_UP} and (o - c1) / nullif(abs(c1), 0) < -0.005 and c > (o1 + c1) / 2 and c < o1 - abs(o1) * 1e-4 and ls / nullif(r, 0) < 0.30"),
+    "dark_cloud": ("bear", 2, f"{BIG_UP_DOWN} and (o - c1) / nullif(abs(c1), 0) > 0.005 and c < (o1 + c1) / 2 and c > o1 + abs(o1) * 1e-4 and us / nullif(r, 0) < 0.30"),
+    "bullish_harami": ("bull", 2, f"c1 < o1 and {INSIDE}"),
+    "bearish_harami": ("bear", 2, f"c1 > o1 and {INSIDE}"),
+    "harami_cross": ("neutral", 2, f"c1 <> o1 and b / nullif(r, 0) < 0.08 and {INSIDE}"),
+    "sun": ("bull", 2, f"{BIG_DOWN_UP} and o - c1 < -0.3 * mr and c > o1"),
+    "rain": ("bear", 2, f"{BIG_UP_DOWN} and o - c1 > 0.3 * mr and c < o1"),
+    "meeting_up": ("bull", 2, f"{BIG_DOWN_UP} and abs(c - c1) <= 0.05 * mr"),
+    "meeting_down": ("bear", 2, f"{BIG_UP_DOWN} and abs(c - c1) <= 0.05 * mr"),
+    "twin_bulls": ("bull", 2, "c1 > o1 and c > o and abs(b1 - b) / greatest(b1, 1e-9) < 0.25"),
+    "twin_bears": ("bear", 2, "c1 < o1 and c < o and abs(b1 - b) / greatest(b1, 1e-9) < 0.25"),
+    "tweezer_top": ("bear", 2, "abs(h - h1) <= 0.003 * mr and c1 >= o1 and c < o and c >= close_high"),
+    "tweezer_bottom": ("bull", 2, "abs(l - l1) <= 0.003 * mr and c1 <= o1 and c > o and c <= close_low"),
+    "exhaustion_top": ("bear", 2, "b1 > mb1 and c1 > o1 and b < 0.5 * mb and l >= greatest(o1, c1) and h <= h1"),
+    "exhaustion_bottom": ("bull", 2, "b1 > mb1 and c1 < o1 and b < 0.5 * mb and h <= least(o1, c1) and l >= l1"),
+    "kneading": ("neutral", 2, "b1 / nullif(r1, 0) < 0.25 and b / nullif(r, 0) < 0.25 and (us1 / r1 > 0.4 and ls / r > 0.4 or ls1 / r1 > 0.4 and us / r > 0.4)"),
+    "gap_twins_high": ("bull", 2, f"l1 > h2 and {PAIRED} and least(l1, l) > h2 and c1 > mc1"),
+    "gap_twins_low": ("bull", 2, f"h1 < l2 and {PAIRED} and greatest(h1, h) < l2 and c1 < mc1"),
+    "inverted_two": ("bull", 2, "state1 = 'downtrend' and i >= 2 and c1 > o1 and c > o and o < c1 and after >= 1 and not (next_c > next_o and next_o < c)"),
+    "morning_star": ("bull", 3, f"{STAR_UP} and b1 / nullif(r1, 0) >= 0.08 and b1 / nullif(r1, 0) < 0.25"),
+    "evening_star": ("bear", 3, f"{STAR_DOWN} and b1 / nullif(r1, 0) >= 0.08 and b1 / nullif(r1, 0) < 0.25"),
+    "morning_doji_star": ("bull", 3, f"{STAR_UP} and b1 / nullif(r1, 0) < 0.08"),
+    "evening_doji_star": ("bear", 3, f"{STAR_DOWN} and b1 / nullif(r1, 0) < 0.08"),
+    "morning_doji_cover": ("bull", 3, "c2 < o2 and b2 > mb2 and b1 / greatest(r1, 1e-9) < 0.08 and c > o and b > mb and c > o2"),
+    "evening_doji_cover": ("bear", 3, "c2 > o2 and b2 > mb2 and b1 / greatest(r1, 1e-9) < 0.08 and c < o and b > mb and c < o2"),
+    "abandoned_baby_up": ("bull", 3, "b1 / nullif(r1, 0) <= 0.08 and b2 / nullif(r2, 0) > 0.08 and b / nullif(r, 0) > 0.08 and c2 < o2 and c > o and state2 = 'downtrend' and h1 < l2 and l > h1"),
+    "abandoned_baby_down": ("bear", 3, "b1 / nullif(r1, 0) <= 0.08 and b2 / nullif(r2, 0) > 0.08 and b / nullif(r, 0) > 0.08 and c2 > o2 and c < o and state2 = 'uptrend' and l1 > h2 and h < l1"),
+    "three_red": ("neutral", 3, f"{RISING} and us2 / b2 < 0.1 and us1 / b1 < 0.1 and us / b < 0.1 and o1 between o2 and c2 and o between o1 and c1"),
+    "white_soldiers": ("bull", 3, SOLDIERS),
+    "advance_block": ("neutral", 3, f"{BLOCK} and not ({SOLDIERS})"),
+    "deliberation": ("neutral", 3, f"{RISING} and b2 > mb2 and b1 > mb1 and b < 0.5 * mb and greatest(us2, ls2) / r2 > 0.05 and greatest(us1, ls1) / r1 > 0.05 and greatest(us, ls) / r > 0.05 and not ({BLOCK}) and not ({SOLDIERS})"),
+    "three_falling": ("bear", 3, FALLING),
+    "black_three": ("bear", 3, f"{FALLING} and b2 < mb2 and b1 < mb1 and b < mb and o1 between o2 and c2 and o between o1 and c1"),
+    "three_crows": ("bear", 3, f"{FALLING} and b2 >= mb2 and b1 >= mb1 and b >= mb and ls2 / b2 < 0.1 and ls1 / b1 < 0.1 and ls / b < 0.1"),
+    "cover_down": ("bear", 3, "c2 < o2 and c1 > o1 and c < o and c < o1 and after >= 1"),
+    "cover_up": ("bull", 3, "c2 > o2 and c1 < o1 and c > o and c > o1 and after >= 1"),
+    "two_up_one_down": ("bull", 3, "c2 > o2 and c1 > o1 and c < o and c > c2"),
+    "two_down_one_up": ("bear", 3, "c2 < o2 and c1 < o1 and c > o and c < c2"),
+    "limping": ("bear", 3, "i >= 3 and c2 >= close_high2 and c > o and c1 > o1 and c2 > o2 and c2 > c1 and c1 > c"),
+    "inverted_three": ("bull", 3, "i >= 3 and state2 = 'downtrend' and c2 > o2 and c > o and (c1 > o1 and o1 < c2 and o < c1 or c1 < o1 and o < c2)"),
+    "two_crows": ("bear", 3, "c2 >= o2 and c2 >= close_high2 and c1 < o1 and o1 > c2 and c1 >= o2 and c < o and o > o1 and c < c1"),
+    "three_gap_rise": ("bull", 3, "c > o and c1 > o1 and c2 > o2 and o1 > c2 and o > c1"),
+    "three_gap_decline": ("bear", 3, "c < o and c1 < o1 and c2 < o2 and o1 < c2 and o < c1"),
+    "three_tweezers": (
+        "neutral", 3,
+        "b2 > mb2 and b > mb and b1 < 0.5 * mb1 and (c2 > o2 and c < o and abs(h2 - h1) <= 0.003 * mr and abs(h1 - h) <= 0.003 * mr or c2 < o2 and c > o and abs(l2 - l1) <= 0.003 * mr and abs(l1 - l) <= 0.003 * mr)",
+    ),
+    "rising_three_methods": ("bull", 5, "c4 > o4 and b4 > mb4 and c > o and b > mb and int(c3 < o3) + int(c2 < o2) + int(c1 < o1) >= 2 and least(l3, l2, l1) >= o4 and c > greatest(h3, h2, h1)"),
+    "falling_three_methods": ("bear", 5, "c4 < o4 and b4 > mb4 and c < o and b > mb and int(c3 > o3) + int(c2 > o2) + int(c1 > o1) >= 2 and greatest(h3, h2, h1) <= o4 and c < least(l3, l2, l1)"),
+    "falling_three_stars": ("bear", 5, "c4 < o4 and b4 > 1.5 * mb4 and b3 < 0.8 * mb3 and b2 < 0.8 * mb2 and b1 < 0.8 * mb1 and greatest(h3, h2, h1) < l4 and c < o and b > 1.5 * mb and c < least(l3, l2, l1)"),
+}
+GROUPS = {name: tuple(p for p, (_, bars, _) in PREDICATES.items() if bars == n) for name, n in (("single", 1), ("two_bar", 2), ("three_bar", 3), ("five_bar", 5))}
+#: Of a bar's patterns the strongest stays: fixed order.
+PRIORITY = (
+    "bullish_engulfing bearish_engulfing piercing dark_cloud sun rain shooting_star hanging_man hammer inverted_hammer long_legged_doji doji spinning_top t_shape inverted_t one_line"
+).split()
 
 
 def components(bars: DataFrame) -> DataFrame:
+    w = ordered()
     rows = bars.select("symbol", "ts", F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"))
-    rows = rows.withColumns({"b": F.abs(F.col("c") - F.col("o")), "r": F.col("h") - F.col("l"), "us": F.col("h") - F.greatest("o", "c"), "ls": F.least("o", "c") - F.col("l")})
-    rows = rows.withColumns({"B_": sma(F.col("b"), 20, 5), "R_": sma(F.col("r"), 20, 5)})
-    before = {f"{x}{k}": F.lag(x, k).over(ordered()) for x in "ohlc" for k in range(1, 5)} | {f"B{k}_": F.lag("B_", k).over(ordered()) for k in (1, 2, 4)}
-    return rows.withColumns(before)
+    rows = rows.withColumns({"b": F.abs(F.col("c") - F.col("o")), "r": F.col("h") - F.col("l"), "us": F.col("h") - F.greatest("o", "c"), "ls": F.least("o", "c") - F.col("l"), "i": F.row_number().over(w)})
+    five, before5 = w.rowsBetween(1, 5), w.rowsBetween(-5, -1)
+    past5 = F.count(F.lit(1)).over(before5) >= 3
+    rows = rows.withColumns({
+        "mb": sma(F.col("b"), 20, 5), "mr": sma(F.col("r"), 20, 5), "mc": sma(F.col("c"), 20, 5),
+        "med": F.coalesce(F.nullif(rolling_quantile(F.col("b"), 0.5, 20, 3), F.lit(0.0)), F.percentile("b", 0.5).over(Window.partitionBy("symbol"))),
+        "high_mark": rolling_quantile(F.col("h"), 0.8, 10, 3), "low_mark": rolling_quantile(F.col("l"), 0.2, 10, 3),
+        "close_high": rolling_quantile(F.col("c"), 0.8, 20, 5), "close_low": rolling_quantile(F.col("c"), 0.2, 20, 5),
+        "ret": F.try_divide("c", F.lag("c", 20).over(w)) - 1,
+        "high5": F.when(past5, F.max("h").over(before5)), "low5": F.when(past5, F.min("l").over(before5)),
+        "after": F.count("c").over(five), "least_close": F.min("c").over(five), "least_low": F.min("l").over(five),
+        "next_o": F.lead("o").over(w), "next_c": F.lead("c").over(w),
+    })
+    rows = rows.withColumn("state", trend_state(F.col("ret")))
+    lags = {f"{x}{k}": F.lag(x, k).over(w) for x in ("o", "h", "l", "c", "b", "r", "us", "ls", "mb") for k in range(1, 5)}
+    lags |= {f"{x}{k}": F.lag(x, k).over(w) for x in ("mc", "state", "close_high") for k in (1, 2)}
+    return rows.withColumns(lags | {"med1": F.coalesce(F.lag("med").over(w), F.col("med"))})
 
 
-def spark_predicate(predicate: str) -> str:
-    """Column names differ from their lower-case twins only by case, which Spark does not see."""
-    return re.sub(r"\b(B[124]?|R)\b", r"\1_", predicate)
+def guarded(predicate: str) -> str:
+    """Divisions by a column give null where it is 0."""
+    return re.sub(r"/ (\w+)\b(?!\()", r"/ nullif(\1, 0)", predicate)
 
 
 def detect(bars: DataFrame, group: str | None = None) -> DataFrame:
-    """(symbol, ts, pattern, direction): one row per bar and pattern that it completes."""
-    names = GROUPS[group] if group else PREDICATES
-    hits = [F.when(F.coalesce(F.expr(spark_predicate(PREDICATES[n][1])), F.lit(False)), F.struct(F.lit(n).alias("pattern"), F.lit(PREDICATES[n][0]).alias("direction"))) for n in names]
-    return components(bars).select("symbol", "ts", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("symbol", "ts", "hit.pattern", "hit.direction")
+    """(symbol, ts, pattern, direction, bars): one row per bar and pattern that it completes."""
+    hits = []
+    for name in GROUPS[group] if group else PREDICATES:
+        direction, n, predicate = PREDICATES[name]
+        event = F.struct(F.lit(name).alias("pattern"), F.lit(direction).alias("direction"), F.lit(n).alias("bars"))
+        hits.append(F.when(F.coalesce(F.expr(guarded(predicate)), F.lit(False)), event))
+    return components(bars).select("symbol", "ts", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("symbol", "ts", "hit.*")
+
+
+def strongest(patterns: DataFrame) -> DataFrame:
+    """Of each (symbol, ts) the pattern that comes first in ``PRIORITY``; all of them where none is listed."""
+    rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("pattern"))
+    listed = patterns.withColumn("rank", F.when(rank > 0, rank))
+    by_bar = Window.partitionBy("symbol", "ts")
+    return listed.withColumn("best", F.min("rank").over(by_bar)).where("rank = best or best is null").drop("rank", "best")

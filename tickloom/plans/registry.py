@@ -11,6 +11,7 @@ from ..functions import rolling as R
 from ..operators import averages, bars, candles, chan, factors, indicators, retrieval, structure, valuation
 from ..sources import bars as sources
 from ..streaming import bars as streaming
+from . import candle_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,21 +182,10 @@ def run_lengths(spark, d):
     return structure.runs(daily(spark, d))
 
 
-@query(
-    "trend_context",
-    B
-    + f""", r AS (SELECT symbol, ts, rn, close / lag(close, 20) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret, regr_slope(ln(close), rn) OVER {over(20)} AS slope FROM i),
-    q AS (SELECT *, quantile_cont(ret, 0.75) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING) AS hi, quantile_cont(ret, 0.25) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING) AS lo,
-    count(ret) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING) AS n FROM r)
-    SELECT symbol, ts, CASE WHEN n >= 30 AND ret > hi AND slope > 0 THEN 'up' WHEN n >= 30 AND ret < lo AND slope < 0 THEN 'down' ELSE 'flat' END AS context FROM q""",
-)
+@query("trend_context", B + candle_sql.FEATURES + " SELECT symbol, ts, CASE trend WHEN 'up' THEN 'uptrend' WHEN 'down' THEN 'downtrend' ELSE 'neutral' END AS context, round(ret, 6) AS ret FROM f")
 def trend_context(spark, d):
-    rows = daily(spark, d).withColumn("rn", F.row_number().over(R.ordered()))
-    rows = rows.select("symbol", "ts", (F.try_divide("close", F.lag("close", 20).over(R.ordered())) - 1).alias("ret"), F.regr_slope(F.ln("close"), "rn").over(R.trailing(20)).alias("slope"))
-    past = R.ordered().rowsBetween(-120, -1)
-    rows = rows.withColumns({"hi": F.percentile("ret", 0.75).over(past), "lo": F.percentile("ret", 0.25).over(past), "n": F.count("ret").over(past)})
-    full = F.col("n") >= 30
-    return rows.select("symbol", "ts", F.when(full & (F.col("ret") > F.col("hi")) & (F.col("slope") > 0), "up").when(full & (F.col("ret") < F.col("lo")) & (F.col("slope") < 0), "down").otherwise("flat").alias("context"))
+    rows = daily(spark, d).select("symbol", "ts", (F.try_divide("close", F.lag("close", 20).over(R.ordered())) - 1).alias("ret"))
+    return rounded(rows.select("symbol", "ts", R.trend_state(F.col("ret")).alias("context"), "ret"), "ret")
 
 
 def recursion(columns: str, first: str, step: str, out: str, source: str = "i") -> str:
@@ -288,25 +278,23 @@ for kind in ("macd", "rsi", "supertrend", "average"):
     search_query(kind)
 
 
-def candle_sql(group: str) -> str:
-    lags = ", ".join(f"lag({x}, {k}) OVER w AS {x}{k}" for x in "ohlc" for k in range(1, 5)) + ", " + ", ".join(f"lag(B_, {k}) OVER w AS B{k}_" for k in (1, 2, 4))
-    hits = " UNION ALL ".join(f"SELECT symbol, ts, '{n}' AS pattern, '{candles.PREDICATES[n][0]}' AS direction FROM z WHERE {candles.spark_predicate(candles.PREDICATES[n][1])}" for n in candles.GROUPS[group])
-    return (
-        B
-        + f""", x AS (SELECT symbol, ts, open AS o, high AS h, low AS l, close AS c, abs(close - open) AS b, high - low AS r, high - greatest(open, close) AS us, least(open, close) - low AS ls FROM b),
-    y AS (SELECT *, CASE WHEN count(b) OVER {over(20)} >= 5 THEN avg(b) OVER {over(20)} END AS B_, CASE WHEN count(r) OVER {over(20)} >= 5 THEN avg(r) OVER {over(20)} END AS R_ FROM x),
-    z AS (SELECT *, {lags} FROM y WINDOW w AS (PARTITION BY symbol ORDER BY ts)) {hits}"""
-    )
-
-
-def candle_query(group: str) -> None:
-    @query(f"candle_{group}", candle_sql(group))
+def candle_query(group: str, bars: int) -> None:
+    @query(f"candle_{group}", candle_sql.candle_sql(B, bars))
     def run(spark, d):
         return candles.detect(daily(spark, d), group)
 
 
-for group in candles.GROUPS:
-    candle_query(group)
+for group, size in (("single", 1), ("two_bar", 2), ("three_bar", 3), ("five_bar", 5)):
+    candle_query(group, size)
+
+
+@query(
+    "candle_strongest",
+    "WITH hits AS (" + candle_sql.candle_sql(B) + f"), ranks AS (SELECT unnest({list(candles.PRIORITY)}) AS pattern, generate_subscripts({list(candles.PRIORITY)}, 1) AS rank), r AS (SELECT hits.*, rank, min(rank) OVER (PARTITION BY symbol, ts) AS best FROM hits LEFT JOIN ranks USING (pattern)) SELECT symbol, ts, pattern, direction, bars FROM r WHERE rank = best OR best IS NULL",
+)
+def candle_strongest(spark, d):
+    return candles.strongest(candles.detect(daily(spark, d)))
+
 
 HOURLY = """WITH b AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, first(value ORDER BY events.ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY events.ts, event_id) AS close FROM events WHERE value > 0 GROUP BY event_type, date_trunc('hour', ts)),
     i AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS bar_idx, lag(high) OVER (PARTITION BY symbol ORDER BY ts) AS ph, lag(low) OVER (PARTITION BY symbol ORDER BY ts) AS pl FROM b),
