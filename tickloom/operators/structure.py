@@ -24,23 +24,38 @@ def runs(bars: DataFrame) -> DataFrame:
     return numbered.groupBy("symbol", "run", "sign").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("length"))
 
 
-def gaps(bars: DataFrame, horizon: int = 60) -> DataFrame:
-    """Price gaps with the first bar that fills them within ``horizon`` bars.
+def gaps(bars: DataFrame, horizon: int | None = None, block: int = 64) -> DataFrame:
+    """Price gaps with the first later bar that fills them, at most ``horizon`` bars on if given.
 
-    A gap joins the later bars of its own symbol by index block: every bar falls
-    into one block of ``horizon`` bars and a gap looks into two, so the join has
-    equal keys and its size is bounded by gaps times horizon.
+    Bars fall into blocks with their lowest low and highest high. A gap looks at the
+    blocks of its symbol for the first one after its own that holds a fill, then at
+    the bars of its own block and of that one, so it never meets all later bars.
     """
     rows = with_index(bars)
     before = lambda c: F.lag(c).over(ordered())
+    number = F.floor(F.col("bar_idx") / block).cast("int")
     found = rows.select("symbol", "ts", "bar_idx", "low", "high", before("high").alias("prev_high"), before("low").alias("prev_low")).where("low > prev_high or high < prev_low")
-    edges = found.select("symbol", "ts", "bar_idx", F.when(F.col("low") > F.col("prev_high"), "up").otherwise("down").alias("direction"), F.when(F.col("low") > F.col("prev_high"), F.col("prev_high")).otherwise(F.col("high")).alias("bottom"), F.when(F.col("low") > F.col("prev_high"), F.col("low")).otherwise(F.col("prev_low")).alias("top"))
-    block = F.floor(F.col("bar_idx") / horizon)
-    looks = edges.withColumn("block", F.explode(F.array(block, block + 1)))
-    later = rows.select("symbol", block.alias("block"), F.col("bar_idx").alias("at"), F.col("low").alias("later_low"), F.col("high").alias("later_high"))
-    fills = looks.join(later, ["symbol", "block"]).where((F.col("at") > F.col("bar_idx")) & (F.col("at") <= F.col("bar_idx") + horizon) & F.when(F.col("direction") == "up", F.col("later_low") <= F.col("bottom")).otherwise(F.col("later_high") >= F.col("top")))
-    first = fills.groupBy("symbol", "bar_idx").agg(F.min("at").alias("filled_idx"))
-    return edges.join(first, ["symbol", "bar_idx"], "left")
+    up = F.col("low") > F.col("prev_high")
+    edges = found.select("symbol", "ts", "bar_idx", F.when(up, "up").otherwise("down").alias("direction"), F.when(up, F.col("prev_high")).otherwise(F.col("high")).alias("bottom"), F.when(up, F.col("low")).otherwise(F.col("prev_low")).alias("top"), number.alias("own"))
+    extremes = rows.groupBy("symbol", number.alias("block")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    listed = extremes.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("block", "low", "high"))).alias("blocks"))  # one entry for ``block`` bars
+    fills = lambda low, high: F.when(F.col("direction") == "up", low <= F.col("bottom")).otherwise(high >= F.col("top"))
+    later = F.filter("blocks", lambda b: (b["block"] > F.col("own")) & fills(b["low"], b["high"]))
+    looks = edges.join(listed, "symbol").select("symbol", "bar_idx", "direction", "bottom", "top", F.explode(F.array_compact(F.array(F.col("own"), F.get(later, F.lit(0))["block"]))).alias("block"))
+    inside = rows.select("symbol", number.alias("block"), F.col("bar_idx").alias("at"), F.col("low").alias("later_low"), F.col("high").alias("later_high"))
+    hits = looks.join(inside, ["symbol", "block"]).where((F.col("at") > F.col("bar_idx")) & fills(F.col("later_low"), F.col("later_high")))
+    first = hits.groupBy("symbol", "bar_idx").agg(F.min("at").alias("filled_idx"))
+    near = F.lit(True) if horizon is None else F.col("filled_idx") - F.col("bar_idx") <= horizon
+    return edges.drop("own").join(first, ["symbol", "bar_idx"], "left").withColumn("filled_idx", F.when(near, F.col("filled_idx")))
+
+
+def window_support(bars: DataFrame, forward: int = 5) -> DataFrame:
+    """``gaps`` with ``held``: whether the ``forward`` bars after the fill stay on the fill bar's side; null without a fill or so many bars."""
+    w = ordered()
+    ahead = w.rowsBetween(1, forward)
+    full = F.count(F.lit(1)).over(ahead) == forward
+    after = with_index(bars).select("symbol", F.col("bar_idx").alias("filled_idx"), F.when(full, F.min("low").over(ahead) >= F.col("low")).alias("floor"), F.when(full, F.max("high").over(ahead) <= F.col("high")).alias("ceiling"))
+    return gaps(bars).join(after, ["symbol", "filled_idx"], "left").withColumn("held", F.when(F.col("direction") == "up", F.col("floor")).otherwise(F.col("ceiling"))).drop("floor", "ceiling")
 
 
 def islands(bars: DataFrame, most: int = 9) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
-from ..operators import averages, bars, candles, chan, factors, indicators, retrieval, structure, valuation
+from ..operators import averages, bars, candles, chan, events, factors, indicators, retrieval, structure, valuation
 from ..sources import bars as sources
 from ..streaming import bars as streaming
 from . import candle_sql
@@ -304,13 +304,30 @@ HOURLY = """WITH b AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts
 @query(
     "gaps_fill",
     HOURLY
-    + """ SELECT symbol, ts, CAST(bar_idx AS INTEGER) AS bar_idx, direction, round(bottom, 6) AS bottom, round(top, 6) AS top, CAST((SELECT min(i.bar_idx) FROM i WHERE i.symbol = g.symbol AND i.bar_idx > g.bar_idx AND i.bar_idx <= g.bar_idx + 60
+    + """ SELECT symbol, ts, CAST(bar_idx AS INTEGER) AS bar_idx, direction, round(bottom, 6) AS bottom, round(top, 6) AS top, CAST((SELECT min(i.bar_idx) FROM i WHERE i.symbol = g.symbol AND i.bar_idx > g.bar_idx
     AND CASE WHEN g.direction = 'up' THEN i.low <= g.bottom ELSE i.high >= g.top END) AS INTEGER) AS filled_idx FROM g""",
 )
 def gaps_fill(spark, d):
     return rounded(structure.gaps(bars.build(sources.event_ticks(spark, d))).select("symbol", "ts", "bar_idx", "direction", "bottom", "top", "filled_idx"), "bottom", "top")
 
 
+@query(
+    "window_support",
+    HOURLY
+    + """, u AS (SELECT g.*, (SELECT min(i.bar_idx) FROM i WHERE i.symbol = g.symbol AND i.bar_idx > g.bar_idx AND CASE WHEN g.direction = 'up' THEN i.low <= g.bottom ELSE i.high >= g.top END) AS filled FROM g)
+    SELECT u.symbol, u.ts, u.direction, CAST(filled AS INTEGER) AS filled_idx, CASE WHEN (SELECT count(*) FROM i WHERE i.symbol = u.symbol AND i.bar_idx BETWEEN filled + 1 AND filled + 5) = 5 THEN
+      CASE WHEN u.direction = 'up' THEN (SELECT min(i.low) FROM i WHERE i.symbol = u.symbol AND i.bar_idx BETWEEN filled + 1 AND filled + 5) >= f.low ELSE (SELECT max(i.high) FROM i WHERE i.symbol = u.symbol AND i.bar_idx BETWEEN filled + 1 AND filled + 5) <= f.high END END AS held
+    FROM u LEFT JOIN i f ON f.symbol = u.symbol AND f.bar_idx = filled""",
+)
+def window_support(spark, d):
+    return structure.window_support(bars.build(sources.event_ticks(spark, d))).select("symbol", "ts", "direction", "filled_idx", "held")
+
+
+@query("all_patterns")
+def all_patterns(spark, d):
+    return events.detect_all(daily(spark, d))
+
+
 @query("islands", HOURLY + ", p AS (SELECT *, lead(bar_idx) OVER w AS e, lead(direction) OVER w AS ed FROM g WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)) SELECT symbol, CAST(bar_idx AS INTEGER) AS start_idx, CAST(e AS INTEGER) AS end_idx, CASE WHEN direction = 'up' THEN 'top' ELSE 'bottom' END AS kind FROM p WHERE ed <> direction AND e - bar_idx <= 9")
 def islands(spark, d):
     return structure.islands(bars.build(sources.event_ticks(spark, d)))
