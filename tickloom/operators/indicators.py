@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import ordered, simple_return
@@ -80,7 +80,7 @@ def atr_values(g: pd.DataFrame, n: int) -> pd.Series:
 
 
 def supertrend_values(g: pd.DataFrame, n: int, multiple: float) -> tuple[np.ndarray, np.ndarray]:
-    """Line and trend. A band only moves towards the price until the close before it had left it."""
+    """Line and trend (1 up, 0 down); the first bar has no line. A band only moves towards the price until the close before it had left it."""
     middle, width = (g["high"] + g["low"]) / 2, multiple * atr_values(g, n)
     upper, lower = (middle + width).to_numpy(copy=True), (middle - width).to_numpy(copy=True)
     close, trend = g["close"].to_numpy(), np.ones(len(g), dtype=np.int64)
@@ -89,8 +89,10 @@ def supertrend_values(g: pd.DataFrame, n: int, multiple: float) -> tuple[np.ndar
             upper[i] = upper[i - 1]
         if lower[i] < lower[i - 1] and close[i - 1] >= lower[i - 1]:
             lower[i] = lower[i - 1]
-        trend[i] = 1 if close[i] > upper[i - 1] else -1 if close[i] < lower[i - 1] else trend[i - 1]
-    return np.where(trend == 1, lower, upper), trend
+        trend[i] = 1 if close[i] > upper[i - 1] else 0 if close[i] < lower[i - 1] else trend[i - 1]
+    line = np.where(trend == 1, lower, upper)
+    line[:1] = np.nan
+    return line, trend
 
 
 def supertrend(bars: DataFrame, n: int = 10, multiple: float = 3.0) -> DataFrame:
@@ -101,9 +103,10 @@ def supertrend(bars: DataFrame, n: int = 10, multiple: float = 3.0) -> DataFrame
     return per_symbol(bars, compute, "line double, trend long")
 
 
-def transitions(signals: DataFrame, last: int = 8) -> DataFrame:
-    """The last changes of a 0/1 signal of each symbol."""
-    changed = signals.withColumn("before", F.lag("signal").over(ordered())).where("before is not null and before <> signal")
+def transitions(signals: DataFrame, last: int = 8, within: int = 80) -> DataFrame:
+    """The last changes of a 0/1 signal among the last ``within`` bars of each symbol."""
+    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("ts").desc()))
+    changed = signals.withColumns({"before": F.lag("signal").over(ordered()), "back": back}).where((F.col("back") <= within) & F.col("before").isNotNull() & (F.col("before") != F.col("signal")))
     rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("ts").desc()))
     return changed.withColumn("rank", rank).where(F.col("rank") <= last).select("symbol", "ts", "rank", "signal")
 
@@ -113,11 +116,12 @@ def backtest(signals: DataFrame) -> DataFrame:
     held = F.coalesce(F.lag("signal").over(ordered()), F.lit(0))
     rows = signals.select("symbol", "ts", "close", "signal", (F.coalesce(simple_return(), F.lit(0.0)) * held).alias("strategy"), F.row_number().over(ordered()).alias("i"), F.lag("signal", 1, 0).over(ordered()).alias("before"))
     so_far = ordered().rowsBetween(Window.unboundedPreceding, 0)
-    onward = ordered().rowsBetween(1, Window.unboundedFollowing)
+    backward = Window.partitionBy("symbol").orderBy(F.col("ts").desc())  # running frames from the end, as frames that end at the last row are built anew for each row
+    onward = backward.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("equity", F.product(1 + F.greatest("strategy", F.lit(-0.99))).over(so_far))
     rows = rows.withColumns({
         "drawdown": F.try_divide("equity", F.greatest(F.max("equity").over(so_far), F.lit(1e-12))) - 1,
-        "exit": F.coalesce(F.min(F.when((F.col("signal") == 0) & (F.col("before") == 1), F.struct("i", "close"))).over(onward)["close"], F.last("close").over(ordered().rowsBetween(0, Window.unboundedFollowing))),
+        "exit": F.coalesce(F.min(F.when((F.col("signal") == 0) & (F.col("before") == 1), F.struct("i", "close"))).over(onward)["close"], F.first("close").over(backward.rowsBetween(Window.unboundedPreceding, 0))),
     })
     entry = (F.col("signal") == 1) & (F.col("before") == 0)
     gain, loss = F.sum(F.when(F.col("strategy") > 0, F.col("strategy")).otherwise(0.0)), F.sum(F.when(F.col("strategy") < 0, -F.col("strategy")).otherwise(0.0))
@@ -135,70 +139,19 @@ def discreteness(bars: DataFrame, n: int = 60) -> DataFrame:
     grouped = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), (F.product(1 + F.col("ret")) - 1).alias("total"), F.avg((F.col("ret") < 0).cast("int")).alias("down"), F.avg((F.col("ret") > 0).cast("int")).alias("up"), F.sort_array(F.collect_list(F.abs("ret")), asc=False).alias("sizes"))
     top = F.aggregate(F.slice("sizes", 1, 5), F.lit(0.0), lambda a, x: a + x)
     whole = F.aggregate("sizes", F.lit(0.0), lambda a, x: a + x)
-    return grouped.where("n >= 20").select("symbol", (F.signum("total") * (F.col("down") - F.col("up"))).alias("discreteness"), F.try_divide(top, whole).alias("top5_share"))
+    return grouped.where("n >= 20").select("symbol", (F.when(F.col("total") >= 0, 1.0).otherwise(-1.0) * (F.col("down") - F.col("up"))).alias("discreteness"), (top / F.greatest(whole, F.lit(1e-12))).alias("top5_share"))
 
 
-def search(bars: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:
-    """The best parameters of an indicator for each symbol by the backtest score.
+def discreteness_class(value: Column, top5_share: Column) -> Column:
+    """Moves on few days, piled up over many, or to and fro."""
+    return F.when(top5_share >= 0.55, "concentrated").when(F.abs(value) >= 0.28, "cumulative").otherwise("mixed")
 
-    Symbols meet the parameter table (kind, chunk, params) by chunk, and each
-    (symbol, chunk) is a group, so a wide grid spreads over the cluster; ties go to
-    the parameters that come first.
-    """
-    rows = bars.select("symbol", "ts", "high", "low", "close")
-    chunks = candidates.groupBy("chunk").agg(F.sort_array(F.collect_list("params")).alias("grid"))
-    joined = rows.join(F.broadcast(chunks))  # the grid is a fixed table of parameters
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        grid = group["grid"].iloc[0]
-        g = group.drop(columns="grid").sort_values("ts", ignore_index=True)
-        best = None
-        for params in grid:
-            found = score_signal(g["close"].to_numpy(), signal_of(kind, g, list(params)))
-            if found is not None and (best is None or found > best[0]):
-                best = (found, list(params))
-        return pd.DataFrame([{"symbol": g["symbol"].iloc[0], "score": best[0], "params": best[1]}] if best else [], columns=["symbol", "score", "params"])
-
-    per_chunk = joined.groupBy("symbol", "chunk").applyInPandas(run, "symbol string, score double, params array<double>")
-    order = Window.partitionBy("symbol").orderBy(F.col("score").desc(), "params")
-    return per_chunk.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
-
-
-def signal_of(kind: str, g: pd.DataFrame, p: list[float]) -> np.ndarray:
-    if kind == "macd":
-        dif = ema(g["close"], p[0]) - ema(g["close"], p[1])
-        return (dif >= ema(dif, p[2])).to_numpy().astype(int)
-    if kind == "rsi":
-        return (rsi_values(g["close"], int(p[0])) >= 50).to_numpy().astype(int)
-    if kind == "supertrend":
-        return (supertrend_values(g, int(p[0]), p[1])[1] == 1).astype(int)
-    if kind == "average":
-        return (g["close"] >= g["close"].rolling(int(p[0])).mean()).to_numpy().astype(int)
-    raise ValueError(kind)
-
-
-def score_signal(close: np.ndarray, signal: np.ndarray) -> float | None:
-    if len(close) < 30:
-        return None
-    ret = np.concatenate([[0.0], close[1:] / close[:-1] - 1])
-    strategy = ret * np.concatenate([[0], signal[:-1]])
-    gain, loss = strategy[strategy > 0].sum(), -strategy[strategy < 0].sum()
-    equity = np.cumprod(1 + np.maximum(strategy, -0.99))
-    drawdown = (equity / np.maximum(np.maximum.accumulate(equity), 1e-12) - 1).min() * 100
-    before = np.concatenate([[0], signal[:-1]])
-    entries, exits = np.flatnonzero((signal == 1) & (before == 0)), np.flatnonzero((signal == 0) & (before == 1))
-    ends = np.searchsorted(exits, entries, side="right")
-    at = np.where(ends < len(exits), exits[np.minimum(ends, max(0, len(exits) - 1))] if len(exits) else 0, len(close) - 1)
-    win = float((close[at] > close[entries]).mean()) if len(entries) else 0.0
-    return float((min(gain / max(loss, 1e-9), 8) * 0.5 + win * 2 + max((equity[-1] - 1) * 100, -80) / 100 + drawdown / 180) * min(1, len(entries) / 5))
-
-
-def grid(spark, kind: str, chunk: int = 64) -> DataFrame:
-    """A parameter table (chunk, params)."""
-    grids = {
-        "macd": [(f, s, n) for f in range(6, 21, 2) for s in range(f + 8, f + 30, 4) for n in (6, 9, 12)],
-        "rsi": [(n,) for n in range(5, 61)],
-        "supertrend": [(n, m / 4) for n in range(5, 31, 5) for m in range(4, 21, 2)],
-        "average": [(n,) for n in range(5, 366, 5)],
-    }
-    return spark.createDataFrame([(i // chunk, [float(x) for x in p]) for i, p in enumerate(grids[kind])], "chunk int, params array<double>")
+def discreteness_history(bars: DataFrame, n: int = 60) -> DataFrame:
+    """``discreteness`` of the n returns up to each bar from bar n on, with the share of the five largest moves."""
+    w = ordered().rowsBetween(-(n - 1), 0)
+    rows = bars.select("symbol", "ts", simple_return().alias("ret"), F.row_number().over(ordered()).alias("i"))
+    wide = rows.select("symbol", "ts", "i", F.product(1 + F.col("ret")).over(w).alias("grown"), F.avg((F.col("ret") < 0).cast("int")).over(w).alias("down"), F.avg((F.col("ret") > 0).cast("int")).over(w).alias("up"), F.sum(F.abs("ret")).over(w).alias("moved"), F.sort_array(F.collect_list(F.abs("ret")).over(w), asc=False).alias("sizes"))
+    top = F.aggregate(F.slice("sizes", 1, 5), F.lit(0.0), lambda a, x: a + x)
+    side = F.when(F.col("grown") >= 1, 1.0).otherwise(-1.0)
+    return wide.where((F.col("i") > n) & (F.size("sizes") >= 20)).select("symbol", "ts", (side * (F.col("down") - F.col("up"))).alias("discreteness"), (top / F.greatest("moved", F.lit(1e-12)) * 100).alias("top5_pct"))

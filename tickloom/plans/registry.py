@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
-from ..operators import averages, bars, candles, chan, events, factors, indicators, retrieval, structure, valuation
+from ..operators import averages, bars, candles, chan, events, factors, indicators, retrieval, search, structure, valuation
 from ..sources import bars as sources
 from ..streaming import bars as streaming
 from . import candle_sql
@@ -235,7 +235,7 @@ def ma_cross_signal(spark, d):
     return averages.crossing(daily(spark, d), 10, 30).select("symbol", "ts", "signal")
 
 
-@query("signal_transitions", B + CROSS + ", c AS (SELECT *, lag(signal) OVER (PARTITION BY symbol ORDER BY ts) AS prev FROM s), k AS (SELECT symbol, ts, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS INTEGER) AS rank, signal FROM c WHERE prev <> signal) SELECT * FROM k WHERE rank <= 8")
+@query("signal_transitions", B + CROSS + ", c AS (SELECT *, lag(signal) OVER (PARTITION BY symbol ORDER BY ts) AS prev FROM s), k AS (SELECT symbol, ts, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS INTEGER) AS rank, signal FROM c WHERE rn > (SELECT max(rn) FROM s z WHERE z.symbol = c.symbol) - 80 AND prev <> signal) SELECT * FROM k WHERE rank <= 8")
 def signal_transitions(spark, d):
     return indicators.transitions(averages.crossing(daily(spark, d), 10, 30))
 
@@ -262,7 +262,7 @@ def backtest_metrics(spark, d):
     B
     + """, r AS (SELECT symbol, ts, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM b), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM r WHERE ret IS NOT NULL),
     z AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY abs(ret) DESC) AS big FROM k WHERE n <= 60)
-    SELECT symbol, round(sign(product(1 + ret) - 1) * (avg(CASE WHEN ret < 0 THEN 1.0 ELSE 0 END) - avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END)), 6) AS discreteness, round(sum(CASE WHEN big <= 5 THEN abs(ret) END) / sum(abs(ret)), 6) AS top5_share FROM z GROUP BY symbol""",
+    SELECT symbol, round(CASE WHEN product(1 + ret) >= 1 THEN 1 ELSE -1 END * (avg(CASE WHEN ret < 0 THEN 1.0 ELSE 0 END) - avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END)), 6) AS discreteness, round(sum(CASE WHEN big <= 5 THEN abs(ret) END) / sum(abs(ret)), 6) AS top5_share FROM z GROUP BY symbol""",
 )
 def information_discreteness(spark, d):
     return rounded(indicators.discreteness(daily(spark, d)), "discreteness", "top5_share")
@@ -271,13 +271,41 @@ def information_discreteness(spark, d):
 def search_query(kind: str) -> None:
     @query(f"search_{kind}")
     def run(spark, d):
-        return rounded(indicators.search(daily(spark, d), indicators.grid(spark, kind), kind), "score", to=5)
+        return rounded(search.search(daily(spark, d), kind), "score", "profit_factor", "win_rate", "return_pct", "drawdown_pct", to=5)
 
 
-for kind in ("macd", "rsi", "supertrend", "average"):
+for kind in search.GRIDS:
     search_query(kind)
 
 
+@query("single_averages")
+def single_averages(spark, d):
+    return search.single_averages(daily(spark, d), adaptive=True)
+
+
+@query("double_averages")
+def double_averages(spark, d):
+    base = daily(spark, d)
+    return search.double_averages(base, search.single_averages(base))
+
+
+@query("triple_averages")
+def triple_averages(spark, d):
+    base = daily(spark, d)
+    singles = search.single_averages(base)
+    return search.triple_averages(base, singles, search.double_averages(base, singles))
+
+
+@query(
+    "discreteness_history",
+    B
+    + """, r AS (SELECT symbol, ts, rn, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM i), p AS (SELECT x.symbol, x.ts, y.ret, row_number() OVER (PARTITION BY x.symbol, x.ts ORDER BY abs(y.ret) DESC) AS big FROM r x JOIN r y ON y.symbol = x.symbol AND y.rn BETWEEN x.rn - 59 AND x.rn WHERE x.rn > 60 AND y.ret IS NOT NULL)
+    SELECT symbol, ts, round(CASE WHEN product(1 + ret) >= 1 THEN 1 ELSE -1 END * (avg(CASE WHEN ret < 0 THEN 1.0 ELSE 0 END) - avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END)), 6) AS discreteness, round(sum(CASE WHEN big <= 5 THEN abs(ret) END) / greatest(sum(abs(ret)), 1e-12) * 100, 5) AS top5_pct FROM p GROUP BY symbol, ts""",
+)
+def discreteness_history(spark, d):
+    return rounded(rounded(indicators.discreteness_history(daily(spark, d)), "discreteness"), "top5_pct", to=5)
+
+
 def candle_query(group: str, bars: int) -> None:
     @query(f"candle_{group}", candle_sql.candle_sql(B, bars))
     def run(spark, d):
