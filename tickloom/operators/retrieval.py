@@ -2,63 +2,104 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = r"[\p{L}\p{N}]+"
-#: What is hidden in shared text.
-REDACTIONS = [
-    (r"(?i)bearer\s+[A-Za-z0-9._-]+", "Bearer [redacted]"),
-    (r"(?i)(api[_-]?key|token|secret)\s*[=:]\s*\"?[A-Za-z0-9_-]{8,}\"?", "$1=[redacted]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[mail]"),
-    (r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])", "[phone]"),
-]
+from ..functions import scalars
+
+#: Weights of record types and of the features in the built-in profiles, and the least factor of a profile.
+TYPE_WEIGHT = {
+    "official_data_evidence": 1.22, "paper_evidence": 1.18, "evidence_pending": 1.2, "factor_definition": 1.14, "legacy_factor_definition": 0.95,
+    "factor_evidence_link": 1.12, "framework_specification": 1.1, "official_dataset": 1.08, "translation_term": 1.08, "knowledge": 1.0,
+}
+PROFILES = {
+    "balanced": {"importance": 0.35, "sourceReliability": 0.2, "freshness": 0.15, "foundational": 0.15, "usage": 0.15},
+    "authoritative": {"importance": 0.25, "sourceReliability": 0.4, "freshness": 0.1, "foundational": 0.15, "usage": 0.05},
+    "current": {"importance": 0.2, "sourceReliability": 0.15, "freshness": 0.4, "foundational": 0.1, "usage": 0.1},
+    "foundational": {"importance": 0.25, "sourceReliability": 0.15, "freshness": 0.1, "foundational": 0.4, "usage": 0.1},
+}
+FLOOR = 0.55
 
+TOKEN = r"[\p{L}\p{N}]+"
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def search_terms(text: Column) -> Column:
+    """``scalars.terms``, by one pattern where the text has no CJK letters."""
+    plain = F.regexp_extract_all(F.lower(text), F.lit(scalars.TERM), F.lit(0))
+    return F.when(text.rlike(scalars.CJK), scalars.terms(text)).otherwise(plain)
+
+
+def rank_weight(kind: Column, supplementary: Column, quality: Column) -> Column:
+    """By record type, 0.72 for supplementary work, and 0.85 to 1 by quality (1 if unknown)."""
+    types = F.create_map(*[F.lit(x) for pair in TYPE_WEIGHT.items() for x in pair])
+    return F.coalesce(F.try_element_at(types, kind), F.lit(1.0)) * F.when(supplementary, 0.72).otherwise(1.0) * (0.85 + 0.15 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(quality, F.lit(1.0)))))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best documents of each query.
+    """(query_id, doc_id, score, rank): the k best documents of each query; of equal texts the best, then the smallest id.
 
-    Only tokens that some query has are counted: the query tokens are few and join
-    the exploded documents before anything is shuffled, term frequencies are
-    combined in the map tasks, and the rank limit runs before the final shuffle.
+    ``docs`` may have ``weight``, a factor of the score. Only terms that some query has
+    are counted: they are few and join the exploded documents before anything is
+    shuffled, frequencies are combined in the map tasks, and the rank limit runs before
+    the final shuffle.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
+    asked = queries.select("query_id", F.explode(search_terms(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
     vocabulary = asked.select("token").distinct()
-    sized = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
+    weight = F.col("weight") if "weight" in docs.columns else F.lit(1.0)
+    sized = docs.select("doc_id", weight.alias("own"), F.xxhash64("text").alias("content"), search_terms(F.col("text")).alias("tokens"))
     total = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
-    tf = sized.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("token")).join(vocabulary, "token").groupBy("doc_id", "len", "token").agg(F.count(F.lit(1)).alias("tf"))
+    tf = sized.select("doc_id", "own", "content", F.size("tokens").alias("len"), F.explode("tokens").alias("token")).join(vocabulary, "token").groupBy("doc_id", "own", "content", "len", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weighted = tf.join(df, "token").crossJoin(F.broadcast(total))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = weighted.select("doc_id", "token", weight.alias("w")).join(asked, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    scored = weighted.select("doc_id", "own", "content", "token", part.alias("w")).join(asked, "token").groupBy("query_id", "doc_id", "own", "content").agg(F.sum(F.col("w") * F.col("times")).alias("sum"))
+    scored = scored.withColumn("score", F.round(F.col("sum") * F.col("own"), 9)).where("score > 0")
+    one = F.row_number().over(Window.partitionBy("query_id", "content").orderBy(F.col("score").desc(), "doc_id"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return scored.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return scored.withColumn("copy", one).where("copy = 1").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
-def activate(texts: DataFrame, items: DataFrame, least: float = 0.2, top: int = 5) -> DataFrame:
-    """Items triggered by texts: weight * (1 - exp(-sum of trigger weights)) - penalty * negatives.
+def preference(features: Mapping[str, float], weights: Mapping[str, float]) -> float:
+    """The weighted mean of an item's features, 0.5 where one isn't known."""
+    total = sum(w for w in weights.values() if w > 0)
+    return sum(w * features.get(name, 0.5) for name, w in weights.items() if w > 0) / total
+
+
+def multiplier(item: Mapping, profile: str) -> float:
+    """A profile's preference for an item against the balanced one, within the floor and its mirror."""
+    known = {"importance": item["weight"]} | dict(item.get("features", {}))
+    ratio = preference(known, PROFILES[profile]) / (preference(known, PROFILES["balanced"]) or 1.0)
+    return max(FLOOR, min(2 - FLOOR, ratio))
 
-    ``items``: item_id, weight, triggers array<struct<text,weight>>, negatives array<string>.
-    Triggers and text words meet in a hash join on the word.
-    """
-    words = texts.select("text_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
-    up = items.select("item_id", "weight", F.explode("triggers").alias("t")).select("item_id", "weight", F.lower("t.text").alias("word"), F.col("t.weight").alias("w"), F.lit(0).alias("neg"))
-    down = items.select("item_id", "weight", F.explode("negatives").alias("n")).select("item_id", "weight", F.lower("n").alias("word"), F.lit(0.0).alias("w"), F.lit(1).alias("neg"))
-    hits = words.join(up.unionByName(down), "word").groupBy("text_id", "item_id", "weight").agg(F.sum("w").alias("w"), F.sum("neg").alias("neg"))
-    score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("weight") * (1 - F.exp(-F.col("w"))) - 0.25 * F.col("neg"))), 4)
-    rank = F.row_number().over(Window.partitionBy("text_id").orderBy(F.col("score").desc(), F.col("weight").desc(), "item_id"))
-    return hits.select("text_id", "item_id", "weight", score.alias("score")).where(F.col("score") >= least).withColumn("rank", rank).where(F.col("rank") <= top).select("text_id", "item_id", "score", "rank")
 
+def activate(texts: DataFrame, items: Sequence[Mapping], least: float = 0.2, top: int = 5, penalty: float = 0.25, profile: str = "balanced") -> DataFrame:
+    """(text_id, item_id, score, rank): items whose triggers stand in a text.
 
-def redact(text: Column) -> Column:
-    for pattern, by in REDACTIONS:
-        text = F.regexp_replace(text, pattern, by)
-    return text
+    weight * (1 - exp(-sum of trigger weights)) * profile - penalty * negative weights, 0 to 1.
+    The items are a configuration: their phrases, with plurals and any dashes, become
+    predicates of one projection, so texts are read once and nothing is joined.
+    """
+
+    def total(phrases: Sequence[tuple[str, float]]) -> Column:
+        out = F.lit(0.0)
+        for phrase, weight in phrases:
+            out = out + F.when(scalars.matches_term(F.col("text"), phrase), float(weight)).otherwise(0.0)
+        return out
+
+    hits = []
+    for item in items:
+        up = total(item["triggers"])
+        score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), item["weight"] * multiplier(item, profile) * (1 - F.exp(-up)) - penalty * total(item.get("negatives", [])))), 4)
+        hits.append(F.when(up > 0, F.struct(F.lit(item["item_id"]).alias("item_id"), F.lit(float(item["weight"])).alias("weight"), score.alias("score"))))
+    found = texts.select("text_id", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("text_id", "h.*").where(F.col("score") >= least)
+    rank = F.row_number().over(Window.partitionBy("text_id").orderBy(F.col("score").desc(), F.col("weight").desc(), "item_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= top).select("text_id", "item_id", "score", "rank")
 
 
 def text_quality(text: Column) -> Column:
@@ -73,7 +114,8 @@ def merge_atoms(atoms: DataFrame) -> DataFrame:
     return atoms.groupBy(F.sha2(key, 256).alias("key")).agg(F.min("atom_id").alias("atom_id"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("origin")).alias("origins"))
 
 
-def glossary(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Terms that stand in a text as whole words: a hash join on the word for one-word terms."""
-    words = texts.select("text_id", F.explode(tokens(F.col("text"))).alias("term"))
-    return words.join(terms, "term").groupBy("text_id", "term").agg(F.count(F.lit(1)).alias("n"))
+def glossary(texts: DataFrame, terms: Sequence[tuple[str, Sequence[str]]], most: int = 8) -> DataFrame:
+    """(text_id, term, place): the first ``most`` terms, in the order given, that stand in a text by themselves or by an alias."""
+    hits = [F.when(F.greatest(*[F.col("text").rlike(scalars.phrase_pattern(p)).cast("int") for p in (term, term, *aliases)]) == 1, F.lit(term)) for term, aliases in terms]
+    found = F.slice(F.array_compact(F.array(*hits)), 1, most)
+    return texts.select("text_id", F.posexplode(found).alias("place", "term")).select("text_id", "term", (F.col("place") + 1).alias("place"))

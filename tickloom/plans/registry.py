@@ -296,6 +296,21 @@ def triple_averages(spark, d):
     return search.triple_averages(base, singles, search.double_averages(base, singles))
 
 
+@query("center_average")
+def center_average(spark, d):
+    return rounded(averages.center_average(daily(spark, d), 10), "above")
+
+
+@query("safety_lines")
+def safety_lines(spark, d):
+    return rounded(averages.safety_lines(daily(spark, d)), "value", "recovery")
+
+
+@query("chan_signals")
+def chan_signals(spark, d):
+    return rounded(chan.signals(daily(spark, d)), "price")
+
+
 @query(
     "discreteness_history",
     B
@@ -513,53 +528,68 @@ def percentile_zone(spark, d):
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
+LATIN = "regexp_extract_all(lower(text), '[a-z][a-z0-9_+./-]*|[0-9]+(?:\\.[0-9]+)?|[\\x{3400}-\\x{9fff}]+')"
+
+
 @query(
     "bm25_topk",
-    f"""WITH a AS (SELECT query_id, token, count(*) AS times FROM (SELECT item_id AS query_id, unnest({TOKENS}) AS token FROM benchmark) GROUP BY 1, 2), s AS (SELECT doc_id, {TOKENS} AS ts FROM documents),
-    n AS (SELECT count(*) AS n, avg(len(ts)) AS avgl FROM s), tf AS (SELECT doc_id, len, token, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS token FROM s) WHERE token IN (SELECT token FROM a) GROUP BY 1, 2, 3),
-    df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), w AS (SELECT doc_id, token, ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgl)) AS w FROM tf JOIN df USING (token), n),
-    c AS (SELECT query_id, doc_id, sum(w * times) AS score FROM w JOIN a USING (token) GROUP BY 1, 2), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM c)
-    SELECT query_id, rank, round(score, 4) AS score FROM k WHERE rank <= 10""",
+    f"""WITH a AS (SELECT query_id, token, count(*) AS times FROM (SELECT item_id AS query_id, unnest({LATIN}) AS token FROM benchmark) GROUP BY 1, 2), s AS (SELECT doc_id, 0.85 + 0.15 * least(1, greatest(0, coalesce(quality, 1))) AS own, text, {LATIN} AS ts FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)),
+    n AS (SELECT count(*) AS n, avg(len(ts)) AS avgl FROM s), tf AS (SELECT doc_id, own, text, len, token, count(*) AS tf FROM (SELECT doc_id, own, text, len(ts) AS len, unnest(ts) AS token FROM s) WHERE token IN (SELECT token FROM a) GROUP BY ALL),
+    df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), w AS (SELECT doc_id, own, text, token, ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgl)) AS w FROM tf JOIN df USING (token), n),
+    c AS (SELECT query_id, doc_id, text, round(sum(w * times) * own, 9) AS score FROM w JOIN a USING (token) GROUP BY query_id, doc_id, text, own), u AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id, text ORDER BY score DESC, doc_id) = 1),
+    k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM u) SELECT query_id, doc_id, rank, round(score, 4) AS score FROM k WHERE rank <= 10""",
 )
 def bm25_topk(spark, d):
-    docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return rounded(retrieval.bm25(docs, asked).select("query_id", "rank", "score"), "score", to=4)
+    quality = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    docs = table(spark, d, "documents").join(quality, "doc_id", "left").withColumn("weight", retrieval.rank_weight(F.lit("knowledge"), F.lit(False), F.col("quality")))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return rounded(retrieval.bm25(docs, asked), "score", to=4)
 
 
-#: A small fixed set of knowledge items for the activation query.
-ITEMS = [(1, 0.9, [("the", 0.4), ("with", 0.5)], ["idiot"]), (2, 0.7, [("und", 1.0), ("der", 0.3)], []), (3, 0.8, [("les", 0.6), ("dans", 0.8)], ["mit"]), (4, 0.5, [("para", 1.2), ("que", 0.4)], ["dans"])]
+#: A small fixed configuration of knowledge items and terms for the activation and glossary queries.
+ITEMS = [
+    {"item_id": 1, "weight": 0.9, "triggers": [("the river", 0.4), ("with", 0.5), ("the", 0.3)], "negatives": [("idiot", 1.0)]},
+    {"item_id": 2, "weight": 0.7, "triggers": [("und der", 1.0), ("der", 0.3)], "negatives": [("token", 0.5)], "features": {"freshness": 0.9}},
+    {"item_id": 3, "weight": 0.8, "triggers": [("market", 0.6), ("dans", 0.8)], "negatives": [("mit", 1.0)], "features": {"sourceReliability": 1.0}},
+    {"item_id": 4, "weight": 0.5, "triggers": [("para", 1.2), ("que", 0.4)]},
+]
+GLOSSARY = [("the", ["le"]), ("of the", []), ("and", ["und", "et"]), ("token", ["password"]), ("para", []), ("e-mail", ["mail"])]
 
 
-@query(
-    "trigger_activation",
-    f"""WITH i AS (SELECT * FROM (VALUES {", ".join(f"({i}, {w}::DOUBLE, '{t}', {x}::DOUBLE, 0)" for i, w, up, _ in ITEMS for t, x in up)}, {", ".join(f"({i}, {w}::DOUBLE, '{t}', 0.0::DOUBLE, 1)" for i, w, _, down in ITEMS for t in down)}) AS v(item_id, weight, word, w, neg)),
-    t AS (SELECT DISTINCT doc_id AS text_id, unnest({TOKENS}) AS word FROM documents), h AS (SELECT text_id, item_id, weight, sum(w) AS w, sum(neg) AS neg FROM t JOIN i USING (word) GROUP BY 1, 2, 3),
-    s AS (SELECT *, round(least(1.0, greatest(0.0, weight * (1 - exp(-w)) - 0.25 * neg)), 4) AS score FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY score DESC, weight DESC, item_id) AS rank FROM s WHERE score >= 0.2)
-    SELECT text_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5""",
-)
-def trigger_activation(spark, d):
-    items = spark.createDataFrame(ITEMS, "item_id int, weight double, triggers array<struct<text:string,weight:double>>, negatives array<string>")
-    return retrieval.activate(table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), items)
+def stands(column: str, phrase: str, word: str = "A-Za-z0-9") -> str:
+    return f"regexp_matches({column}, '(^|[^{word}]){phrase}([^{word}]|$)')"
 
 
-@query("glossary_terms", f"WITH t AS (SELECT DISTINCT unnest({TOKENS}) AS term FROM benchmark), w AS (SELECT doc_id AS text_id, unnest({TOKENS}) AS term FROM documents) SELECT text_id, term, count(*) AS n FROM w JOIN t USING (term) WHERE length(term) > 6 GROUP BY 1, 2")
-def glossary_terms(spark, d):
-    terms = table(spark, d, "benchmark").select(F.explode(retrieval.tokens(F.col("text"))).alias("term")).distinct().where(F.length("term") > 6)
-    return retrieval.glossary(table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), terms)
+def activation_sql(profile: str) -> str:
+    plural = {"river": "river(s|es)?", "idiot": "idiot(s|es)?", "token": "token(s|es)?", "market": "market(s|es)?"}
+    pattern = lambda phrase: "[ -]+".join(plural.get(w, w) for w in phrase.split(" "))
+    total = lambda phrases: " + ".join(f"CASE WHEN {stands('t', pattern(p), 'a-z0-9_')} THEN {w} ELSE 0 END" for p, w in phrases) or "0"
+    rows = " UNION ALL ".join(f"SELECT text_id, {i['item_id']} AS item_id, {i['weight']} AS weight, {total(i['triggers'])} AS up, {total(i.get('negatives', []))} AS down, {retrieval.multiplier(i, profile)!r} AS factor FROM d" for i in ITEMS)
+    return f"""WITH d AS (SELECT doc_id AS text_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM documents), h AS ({rows}), s AS (SELECT *, round(least(1.0, greatest(0.0, weight * factor * (1 - exp(-up)) - 0.25 * down)), 4) AS score FROM h WHERE up > 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY score DESC, weight DESC, item_id) AS rank FROM s WHERE score >= 0.2) SELECT text_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5"""
 
 
-@query("near_dup_atoms", r"SELECT sha256(lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))) AS key, min(doc_id) AS atom_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(source))), ',') AS origins FROM documents GROUP BY 1")
-def near_dup_atoms(spark, d):
-    return retrieval.merge_atoms(table(spark, d, "documents").select(F.col("doc_id").alias("atom_id"), "text", F.col("source").alias("origin"))).withColumn("origins", F.array_join("origins", ","))
+def activation_query(name: str, profile: str) -> None:
+    @query(name, activation_sql(profile))
+    def run(spark, d):
+        return retrieval.activate(table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), ITEMS, profile=profile)
+
+
+activation_query("trigger_activation", "balanced")
+activation_query("trigger_activation_current", "current")
 
 
 @query(
-    "redact_text",
-    r"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)bearer\s+[A-Za-z0-9._-]+', 'Bearer [redacted]', 'g'), '(?i)(api[_-]?key|token|secret)\s*[=:]\s*"?[A-Za-z0-9_-]{8,}"?', '\1=[redacted]', 'g'),
-    '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[mail]', 'g'), '\b1[3-9][0-9]{9}\b', '[phone]', 'g') AS text FROM conversations""",
+    "glossary_terms",
+    "WITH d AS (SELECT doc_id AS text_id, lower(text) AS t FROM documents), f AS (SELECT text_id, list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(stands('t', p, 'a-z0-9') for p in (term, *aliases))} THEN '{term}' END" for term, aliases in GLOSSARY) + "], lambda x: x IS NOT NULL)[1:8] AS terms FROM d) SELECT text_id, unnest(terms) AS term, CAST(generate_subscripts(terms, 1) AS INTEGER) AS place FROM f",
 )
-def redact_text(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", retrieval.redact(F.col("text")).alias("text"))
+def glossary_terms(spark, d):
+    return retrieval.glossary(table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), GLOSSARY)
+
+
+@query("near_dup_atoms", r"SELECT sha256(lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))) AS key, min(doc_id) AS atom_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(source))), ',') AS origins FROM documents GROUP BY 1")
+def near_dup_atoms(spark, d):
+    return retrieval.merge_atoms(table(spark, d, "documents").select(F.col("doc_id").alias("atom_id"), "text", F.col("source").alias("origin"))).withColumn("origins", F.array_join("origins", ","))
 
 
 @query("text_quality", r"SELECT doc_id, round(greatest(0.0, length(regexp_replace(text, '[^\p{L}\p{N}\p{P}\s]', '', 'g')) / length(text) - 0.01 * length(regexp_replace(text, '[^�]', '', 'g'))), 6) AS quality FROM documents")
