@@ -65,13 +65,13 @@ def page_ranges(spark, d):
     s AS (SELECT o_custkey, count(*) AS n, sum(d * d) AS s2, sum(d * d * d) AS s3, sum(d * d * d * d) AS s4, sum(d * y) AS t1, sum(d * d * y) AS t2, sum(y) AS sy, max(y) AS hi, min(y) AS lo, avg(y) AS mean, arg_min(y, x) AS first, arg_max(y, x) AS last,
       regr_slope(y, x) AS slope, regr_intercept(y, x) AS icept, regr_r2(y, x) AS r2, var_pop(y) AS v, regr_slope(ln(y), x) AS ls FROM c GROUP BY o_custkey)
     SELECT o_custkey, round(coalesce(slope, 0), 1) AS slope, round(coalesce(icept, mean), 1) AS intercept, round(CASE WHEN v = 0 THEN 1 ELSE coalesce(r2, 0) END, 5) AS r2, round(CASE WHEN n > 3 THEN (s2 * (t2 - s2 * sy / n) - s3 * t1) / (s2 * (s4 - s2 * s2 / n) - s3 * s3) END, 1) AS a,
-    (hi - lo) / greatest(abs(mean), 1e-12) <= 0.07 AS similar, round(power(last / first, 1.0 / n) - 1, 5) AS growth, round(last / first, 2) AS ratio, round(least(exp(least(ls, 1) * 2) - 1, 9), 4) AS annualised FROM s""",
+    (hi - lo) / greatest(abs(mean), 1e-12) <= 0.07 AS similar, round(power(last / first, 1.0 / n) - 1, 5) AS growth, round(last / first, 2) AS ratio, round(least(exp(least(ls, 1) * 2) - 1, 9), 4) AS annualised FROM s WHERE n > 1""",
 )
 def fit_scalars(spark, d):
     by = Window.partitionBy("o_custkey")
     rows = table(spark, d, "orders").select("o_custkey", (F.col("o_totalprice") / 7).alias("y"), F.row_number().over(by.orderBy("o_orderdate", "o_orderkey")).cast("double").alias("x")).withColumn("mean_x", F.avg("x").over(by))
     found = rows.groupBy("o_custkey").agg(*[c.alias(n) for n, c in (S.fit("y", "x") | {"a": S.quadratic("y", "x")["a"]}).items()], F.count(F.lit(1)).alias("n"), F.collect_list("y").alias("ys"), F.min_by("y", "x").alias("first"), F.max_by("y", "x").alias("last"), F.regr_slope(F.ln("y"), "x").alias("ls"))
-    out = found.select("o_custkey", "slope", "intercept", "r2", F.when(F.col("n") > 3, F.col("a")).alias("a"), S.similar(F.col("ys")).alias("similar"), S.growth(F.col("first"), F.col("last"), F.col("n")).alias("growth"), S.safe_ratio(F.col("last"), F.col("first")).alias("ratio"), F.least(S.annualised(F.least("ls", F.lit(1.0)), 2), F.lit(9.0)).alias("annualised"))
+    out = found.where("n > 1").select("o_custkey", "slope", "intercept", "r2", F.when(F.col("n") > 3, F.col("a")).alias("a"), S.similar(F.col("ys")).alias("similar"), S.growth(F.col("first"), F.col("last"), F.col("n")).alias("growth"), S.safe_ratio(F.col("last"), F.col("first")).alias("ratio"), F.least(S.annualised(F.least("ls", F.lit(1.0)), 2), F.lit(9.0)).alias("annualised"))
     return rounded(rounded(rounded(out, "slope", "intercept", "a", to=1), "r2", "growth", to=5), "annualised", to=4)
 
 
