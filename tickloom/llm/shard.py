@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import cut, fresh_path, numbered, text_or_empty
 
 OVERFULL = 4
+BROADCAST_BUCKETS = 500_000
 
 
 def scattered(n_buckets: int, *columns: Column) -> Column:
@@ -53,20 +54,21 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 16, seed: int = 20_
     rows = rows.withColumn("bucket", scattered(n_buckets, F.lit(seed), F.col("doc_id"), F.col("text")))
     sizes = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")))
     overfull = sizes.where(F.col("bytes") > OVERFULL * bucket_bytes).select("bucket", F.ceil(F.col("bytes") / bucket_bytes).cast("int").alias("parts"))
-    rows = rows.withColumn("part", F.lit(0))
+    keys = ["bucket"]  # a constant among them would cost a shuffle
     if not overfull.isEmpty():
+        keys = ["bucket", "part"]
         rows, key = numbered(rows)
         rows = rows.join(overfull, "bucket", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(F.lit(seed), key), F.col("parts")).cast("int"), F.lit(0))).drop(key, "parts")
-        sizes = cut(rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n")))
+        sizes = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
         n_buckets += overfull.agg(F.sum("parts")).first()[0]
-    else:
-        sizes = sizes.withColumn("part", F.lit(0))
-
-    ordered = sizes.select("bucket", "part", "n", (F.col("bucket") * (1 << 20) + F.col("part")).alias("order"))
-    first = running_before(ordered, "order", "n", 1 << 32).select("bucket", "part", "first")
-    gathered = rows.repartition(n_buckets, "bucket", "part").groupBy("bucket", "part").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("rows"))
-    shuffled = gathered.sortWithinPartitions("bucket", "part").select("bucket", "part", F.shuffle("rows", F.lit(seed)).alias("rows"))
-    placed = shuffled.join(first, ["bucket", "part"]).select("first", F.posexplode("rows").alias("at", "row")).select("row.doc_id", "row.text", (F.col("first") + F.col("at")).alias("place"))
+
+    order = F.col("bucket") * (1 << 20) + (F.col("part") if "part" in keys else F.lit(0))
+    first = running_before(sizes.select(*keys, "n", order.alias("order")), "order", "n", 1 << 32).select(*keys, "first")
+    gathered = rows.repartition(n_buckets, *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("rows"))
+    shuffled = gathered.sortWithinPartitions(*keys).select(*keys, F.shuffle("rows", F.lit(seed)).alias("rows"))
+    # few rows of three numbers go to all tasks; many are dealt out as the buckets are, so that the texts stay where they are
+    first = F.broadcast(first) if n_buckets <= BROADCAST_BUCKETS else first.repartition(n_buckets, *keys)
+    placed = shuffled.join(first, keys).select("first", F.posexplode("rows").alias("at", "row")).select("row.doc_id", "row.text", (F.col("first") + F.col("at")).alias("place"))
     least, longer = divmod(total["n"], n_shards)
     before = longer * (least + 1)  # the places that the longer shards take
     shard = F.when(F.col("place") < before, F.floor(F.col("place") / (least + 1))).otherwise(longer + F.floor((F.col("place") - before) / max(least, 1))).cast("int")
