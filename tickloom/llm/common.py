@@ -62,6 +62,11 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.sparkSession.read.parquet(path), key
 
 
+def small(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``keys``, a written table of one or two numbers a row, marked for broadcast if it has at most ``most`` rows; else it is joined by a shuffle."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file is; a full path stays as it is."""
     if os.sep in name:

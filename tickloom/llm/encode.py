@@ -27,9 +27,9 @@ import pyarrow.compute as pc
 
 from .common import tokenizer_path
 
-MOST = 600_000
-CHARS = 16 << 20
-SLICE_BYTES = 8 << 20
+MOST = 250_000
+CHARS = 8 << 20
+SLICE_BYTES = 4 << 20
 #: White space other than a space or a line end, and the characters that mark a text's or line's first chunk and a line end.
 OTHER_SPACE = r"\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 FIRST, LINE = "\x02", "\x01"

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, small, text_or_empty
 
 SEED = 42
 #: Fixed values of a public 64-bit mixing function.
@@ -414,7 +414,7 @@ def similar_links(docs: DataFrame, members: DataFrame, shingle: int, similarity:
 
     big = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")).where("chunks > 1")
     rows = docs.select(F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
-    texts = rows.join(members.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
+    texts = rows.join(small(members.select("text_key")), "text_key", "left_semi").dropDuplicates(["text_key"])
     dealt = texts.join(members, "text_key").join(big, "root", "left").withColumn("part", F.explode(chunk_pairs())).withColumn("run", F.xxhash64("root", "part"))
     return dealt.repartition("run").sortWithinPartitions("run").select("run", "node", "text").mapInArrow(run, "u long, v long").distinct()
 
