@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontaminate, exact_dedup, packing, simhash, toxicity
-from tickloom.llm.common import fresh_path, numbered, table
+from tickloom.llm.common import cut, fresh_path, numbered, small, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,8 @@ def without(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     """``rows`` without those of ``groups`` (key, of, doc_id) that aren't the first of theirs; most rows aren't moved if few go."""
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key)
     first = groups.groupBy("of").agg(F.min(order).alias("first")).select(F.col(f"first.{key}").alias(key))
-    return rows.join(groups.select(key).join(first, key, "left_anti"), key, "left_anti")
+    gone = cut(groups.select(key).join(first, key, "left_anti"))
+    return rows.join(small(gone), key, "left_anti")
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
