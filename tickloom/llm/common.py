@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,14 +57,27 @@ def drop_rows(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFram
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a number for each row, and that column's name; both are written once, so a number stays with its row."""
-    key, path = f"__row_{uuid.uuid4().hex[:8]}", fresh_path(docs.sparkSession, "rows")
+    """``docs`` with a key for each row, and that column's name.
+
+    A row of a Parquet file is told by the file and its place in it, which stay the
+    same however the file is read, so nothing is written. Where rows come from
+    elsewhere or two of them share a key, rows get a number and are written once.
+    """
+    key = f"__row_{uuid.uuid4().hex[:8]}"
+    try:
+        place = docs.metadataColumn("_metadata")
+        rows = docs.withColumn(key, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row")))
+        if rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            return rows, key
+    except AnalysisException:
+        pass  # not read from Parquet files
+    path = fresh_path(docs.sparkSession, "rows")
     docs.withColumn(key, F.monotonically_increasing_id()).write.parquet(path)
     return docs.sparkSession.read.parquet(path), key
 
 
 def small(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """``keys``, a written table of one or two numbers a row, marked for broadcast if it has at most ``most`` rows; else it is joined by a shuffle."""
+    """``keys``, a written table of two or three numbers a row, marked for broadcast if it has at most ``most`` rows; else it is joined by a shuffle."""
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
