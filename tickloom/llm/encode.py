@@ -9,7 +9,8 @@ change a result (special strings, runs of white space, text that normalisation
 could join) the library gets the whole text.
 
 Bounds: a slice has ``SLICE_BYTES`` of text or one text; the memory holds two
-generations, and one ends at ``MOST`` parts or ``CHARS`` characters.
+generations, and one ends at ``MOST`` parts or ``CHARS`` characters. Each task has
+an encoder of its own, so a worker process holds none between tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -29,7 +29,7 @@ from .common import tokenizer_path
 
 MOST = 250_000
 CHARS = 8 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: White space other than a space or a line end, and the characters that mark a text's or line's first chunk and a line end.
 OTHER_SPACE = r"\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 FIRST, LINE = "\x02", "\x01"
@@ -207,9 +207,3 @@ class Encoder:
             end = max(at + 1, int(np.searchsorted(held, before + SLICE_BYTES, side="right")))
             yield (at, *self.encode_slice(texts.slice(at, end - at)))
             at = end
-
-
-@lru_cache(maxsize=2)
-def encoder(name: str) -> Encoder:
-    """One encoder for all tasks that a worker process runs, so that it remembers words from one to the next."""
-    return Encoder(name)
