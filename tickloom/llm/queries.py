@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontaminate, exact_dedup, html_extract, packing, pii, shard, simhash, token_counts, token_files, toxicity
+from . import conversations, decontaminate, exact_dedup, html_extract, mixing, packing, pii, shard, simhash, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,10 +68,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_exact_dedup, op2_token_counts, op3_sharding, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_html_extraction,
-        op7_token_files, op8_best_fit_packing, op9_personal_data, op10_toxicity, op12_conversation_repair,
+        op7_token_files, op8_best_fit_packing, op9_personal_data, op10_toxicity, op12_conversation_repair, op13_source_mixing,
     )
     return {f.__name__: f for f in operators} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op13_source_mixing": mixing.oracle_sql()}
