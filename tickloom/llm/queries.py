@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontaminate, exact_dedup, html_extract, mixing, packing, pii, shard, simhash, token_counts, token_files, toxicity
+from . import alignment, conversations, decontaminate, exact_dedup, html_extract, mixing, packing, pii, shard, simhash, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(table(spark, sf_dir, "conversations"))
 
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_exact_dedup, op2_token_counts, op3_sharding, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_html_extraction,
-        op7_token_files, op8_best_fit_packing, op9_personal_data, op10_toxicity, op12_conversation_repair, op13_source_mixing,
+        op7_token_files, op8_best_fit_packing, op9_personal_data, op10_toxicity, op11_token_alignment, op12_conversation_repair, op13_source_mixing,
     )
     return {f.__name__: f for f in operators} | {"pipeline": pipeline}
 
