@@ -17,6 +17,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # a call site for every Column costs most of a plan's building
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

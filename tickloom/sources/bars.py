@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BAR_COLUMNS = ("symbol", "ts", "open", "high", "low", "close", "volume")
@@ -60,3 +60,13 @@ def series_csv(spark: SparkSession, path: str) -> DataFrame:
     name = next(c for c in rows.columns if c != "observation_date")
     value: Column = F.expr(f"try_cast(`{name}` as double)")
     return rows.select(F.lit(name).alias("series_id"), F.to_date("observation_date").alias("date"), value.alias("value")).where("value is not null")
+
+
+def supplier_walk(spark: SparkSession, sf_dir: str, scale: float = 0.3) -> DataFrame:
+    """Weekly ticks of one walk a supplier: each line item moves the price by its discount's distance from 5 %."""
+    order = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+    so_far = Window.partitionBy("l_suppkey").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    price = F.lit(100.0) * F.exp(F.lit(scale) * F.sum(F.col("l_discount") - 0.05).over(so_far))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_quantity", *order, price.alias("price"))
+    week = F.to_date(F.date_trunc("week", "l_shipdate"))
+    return rows.select(F.col("l_suppkey").cast("string").alias("symbol"), week.alias("ts"), "price", F.col("l_quantity").alias("size"), F.struct(*order).alias("tick"))
