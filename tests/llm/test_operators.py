@@ -671,3 +671,12 @@ def test_near_groups_of_odd_rows(odd):
     assert len(rows) == len(ODD)
     ids = {r["doc_id"]: r["component_id"] for r in rows}
     assert ids[2] == ids[3] == ids[1] == 1 and ids[7] == ids[8] == 7 and ids[4] == ids[5] == ids[6] == 4
+
+
+def test_redaction_of_repeated_and_null_ids(spark, tmp_path):
+    rows = [(1, "mail a@b.com now"), (1, "nothing here to see at all x"), (None, "c@d.org"), (None, None), (1, "mail a@b.com now")]
+    want = key([(1, "mail <email> now"), (1, "nothing here to see at all x"), (None, "<email>"), (None, ""), (1, "mail <email> now")])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert key(map(tuple, pii.redact(docs).collect())) == want
+    docs.coalesce(1).write.parquet(f"{tmp_path}/docs")
+    assert key(map(tuple, pii.redact(spark.read.parquet(f"{tmp_path}/docs")).collect())) == want

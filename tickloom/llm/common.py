@@ -43,6 +43,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bound_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Let Arrow batches of this session end at about ``most_bytes``, unless it asks for less.
+
+    A batch stands in the executor's memory and in the Python worker's, each with
+    copies on the way; by rows alone, 10,000 texts of any length are one batch.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if held <= 0 or held > most_bytes:
+        spark.conf.set(name, str(most_bytes))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

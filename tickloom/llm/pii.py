@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, numbered, text_or_empty
 
 #: Fixed patterns of the base kinds, in the order of the results.
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
@@ -300,9 +300,10 @@ def personal_data_digest(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """doc_id and the text with every span replaced by its kind in angle brackets."""
-    found = find_personal_data(docs).select(F.col("doc_id").alias("__id"), F.concat("base", "added").alias("__spans"))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(found, F.col("doc_id").eqNullSafe(F.col("__id")))
+    """doc_id and the text with every span replaced by its kind in angle brackets, row by row: repeated and null doc_ids meet only their own spans."""
+    numbers, key = numbered(docs)
+    found = find_personal_data(numbers.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("__id"), F.concat("base", "added").alias("__spans"))
+    rows = numbers.select(key, "doc_id", text_or_empty().alias("text")).join(found, F.col(key) == F.col("__id"))
     by_start = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -301,6 +301,10 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFr
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: About how many bytes of text the sample of common shingles may have.
+SAMPLE_BYTES = 64 << 20
+
+
 def flip_share(similarity: Fraction, most: int = 8) -> float:
     """The largest chance that one bit differs for two sets of at least that similarity.
 
@@ -325,15 +329,16 @@ def flip_share(similarity: Fraction, most: int = 8) -> float:
 
 
 def common_shingles(docs: DataFrame, shingle: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that three texts or more of a sample have, sorted, and how many; they only set an order, never a result."""
+    """Shingles that three texts or more of a sample have, sorted, and how many; they only set an order, never a result. The sample has about ``sample`` texts and SAMPLE_BYTES at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(shingle_hashes(t, shingle)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))], names=["h"])
 
-    rows = docs.count()
-    chosen = docs.select(text_or_empty().alias("text")).sample(min(1.0, sample / max(rows, 1)), SEED)
+    rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_or_empty()))).first()
+    share = min(1.0, sample / max(rows, 1), SAMPLE_BYTES / max(size or 0, 1))
+    chosen = docs.select(text_or_empty().alias("text")).sample(share, SEED)
     counts = chosen.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").toArrow()
     hashes = counts.column("h").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
