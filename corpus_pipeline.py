@@ -4,7 +4,8 @@ Toxic documents go, then exact copies, then near copies (one document of each
 group stays), then documents that hold benchmark text; the rest is packed. A
 stage takes the Parquet files that its predecessor left and, but for the last,
 returns the same columns. No SQL expresses the stages, so their results are
-tested against brute force.
+tested against brute force. Each stage bounds the session's Arrow batches in bytes,
+as Python workers live on from stage to stage.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontaminate, exact_dedup, packing, simhash, toxicity
-from tickloom.llm.common import cut, fresh_path, numbered, small, table
+from tickloom.llm.common import bound_batches, cut, fresh_path, numbered, small, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay but those whose text is scored toxic, each by itself: nulls and empty texts stay, repeated rows go or stay together."""
+    bound_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -29,6 +32,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: of the smallest doc_id, nulls last, and of equal ids the first row as read."""
+    bound_batches(spark)
     rows, key = numbered(docs)
     return without(rows, simhash.near_rows(rows, ["doc_id", key]).select(key, F.col("root").alias("of"), "doc_id"), key).select(docs.columns)
 
@@ -42,10 +46,13 @@ def without(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows stay whose text holds no benchmark item, each by itself: nulls and empty texts stay, repeated rows go or stay together."""
+    bound_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return packing.pack(docs)
 
 
