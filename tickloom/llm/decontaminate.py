@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_rows, text_or_empty
+from .common import cut, drop_rows, giving_back, text_or_empty
 
 WINDOW = 8
 SHORTEST = 4
@@ -168,7 +168,7 @@ def keyed_windows(rows: DataFrame, width: int, bitmap: np.ndarray | None = None,
             yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, k) for c, k in zip(columns, kinds_of, strict=True)]], names=names)
 
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in keys) + "n_tokens int, width int, at int, hash long, light boolean, slots array<string>"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(giving_back(run), schema)
 
 
 def bitmap_of(found: DataFrame) -> np.ndarray:

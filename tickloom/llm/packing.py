@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import giving_back, text_or_empty
 from .encode import Encoder
 
 
@@ -90,4 +90,4 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 0,
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(giving_back(run), schema)

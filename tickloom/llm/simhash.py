@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, text_or_empty
+from .common import cut, giving_back, small, text_or_empty
 
 SEED = 42
 #: Fixed values of a public 64-bit mixing function.
@@ -339,7 +339,7 @@ def common_shingles(docs: DataFrame, shingle: int, sample: int) -> tuple[np.ndar
     rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_or_empty()))).first()
     share = min(1.0, sample / max(rows, 1), SAMPLE_BYTES / max(size or 0, 1))
     chosen = docs.select(text_or_empty().alias("text")).sample(share, SEED)
-    counts = chosen.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").toArrow()
+    counts = chosen.mapInArrow(giving_back(run), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").toArrow()
     hashes = counts.column("h").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], counts.column("n").to_numpy()[order]
@@ -374,7 +374,7 @@ def signatures(docs: DataFrame, ids: list[str], shingle: int, similarity: Fracti
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ids)
     rows = docs.select(*ids, F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, f"{kinds}, text_key long, node long, fp binary, keys array<long>")
+    return rows.mapInArrow(giving_back(run), f"{kinds}, text_key long, node long, fp binary, keys array<long>")
 
 
 def similar_lanes(sets: list[np.ndarray], similarity: Fraction) -> np.ndarray:
@@ -421,7 +421,7 @@ def similar_links(docs: DataFrame, members: DataFrame, shingle: int, similarity:
     rows = docs.select(F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
     texts = rows.join(small(members.select("text_key")), "text_key", "left_semi").dropDuplicates(["text_key"])
     dealt = texts.join(members, "text_key").join(big, "root", "left").withColumn("part", F.explode(chunk_pairs())).withColumn("run", F.xxhash64("root", "part"))
-    return dealt.repartition("run").sortWithinPartitions("run").select("run", "node", "text").mapInArrow(run, "u long, v long").distinct()
+    return dealt.repartition("run").sortWithinPartitions("run").select("run", "node", "text").mapInArrow(giving_back(run), "u long, v long").distinct()
 
 
 def near_rows(docs: DataFrame, ids: list[str], shingle: int = 5, similarity: float = 0.8, words: int = 4, sample: int = 10_000) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, giving_back, text_or_empty
 
 #: A small lexicon of insults, phrases that are harmless though they hold one, and look-alike characters.
 INSULTS = (
@@ -127,7 +127,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(folded), pa.array(words, pa.list_(pa.string())), batch.column("toxic"), pa.array(sketch)], names=["folded", "words", "toxic", "sketch"])
 
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    return rows.mapInArrow(run, "folded string, words array<string>, toxic int, sketch string").dropDuplicates(["sketch", "toxic"])
+    return rows.mapInArrow(giving_back(run), "folded string, words array<string>, toxic int, sketch string").dropDuplicates(["sketch", "toxic"])
 
 
 def ratio_test(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
@@ -196,7 +196,7 @@ def harmless_phrases(rows: DataFrame, weights: dict[str, float], least: int = 3)
                 pairs.append(sorted({f" {a} {b} " for a, b in zip(words, words[1:], strict=False) if a in known or b in known}))
             yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.list_(pa.string())), batch.column("toxic")], names=["pairs", "toxic"])
 
-    seen = rows.select("folded", "toxic").mapInArrow(run, "pairs array<string>, toxic int").select(F.explode("pairs").alias("pair"), "toxic")
+    seen = rows.select("folded", "toxic").mapInArrow(giving_back(run), "pairs array<string>, toxic int").select(F.explode("pairs").alias("pair"), "toxic")
     kept = seen.groupBy("pair").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).where((F.col("pos") == 0) & (F.col("neg") >= least))
     return sorted(r["pair"] for r in kept.toLocalIterator())
 
@@ -210,7 +210,7 @@ def fit(rows: DataFrame, lexicon: Lexicon, ridge: float = 0.05, steps: int = 25)
             a, b = zip(*[lexicon.features(automaton, t) for t in batch.column("folded").to_pylist()], strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.float64()), pa.array(b, pa.float64()), batch.column("toxic")], names=["a", "b", "toxic"])
 
-    got = rows.select("folded", "toxic").mapInArrow(run, "a double, b double, toxic int").toArrow()
+    got = rows.select("folded", "toxic").mapInArrow(giving_back(run), "a double, b double, toxic int").toArrow()
     x = np.column_stack([np.ones(got.num_rows), got.column("a").to_numpy(), got.column("b").to_numpy()])
     y, w = got.column("toxic").to_numpy().astype(float), np.zeros(3)
     for _ in range(steps):
@@ -230,7 +230,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lexicon.score(features))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(giving_back(run), f"doc_id {kind}, score double")
     held = F.coalesce(bucket_of(F.col("doc_id")) == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
