@@ -47,7 +47,7 @@ def overlap_of_shorter(start: Column, end: Column, other_start: Column, other_en
     return shared / F.greatest(F.lit(1), F.least(end - start, other_end - other_start) + 1)
 
 
-def gate_reasons(family: Column, pivots: Column, amplitude: Column, least_chart: int = 12) -> Column:
+def gate_reasons(family: Column, pivots: Column, amplitude: Column, least_chart: int = 20) -> Column:
     """Why a signal isn't let through; an empty array if it is."""
     span, chart = F.col("end") - F.col("start") + 1, F.col("kind") == "chart"
     tests = [

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bars, charts, swings
+from ..operators import bars, charts, judged, resolution, swings
 from ..sources import bars as sources
 from .registry import query
 
@@ -58,3 +58,18 @@ def chart_consolidations(spark, d):
 @query("chart_best")
 def chart_best(spark, d):
     return listed(charts.best(charts.detect(walks(spark, d), daily=False)))
+
+
+@query("judged_signals")
+def judged_signals(spark, d):
+    """Candlesticks and chart structures of suppliers' walks, gated, and the verdict of each symbol."""
+    verdicts, _ = judged.judge(walks(spark, d))
+    return verdicts.withColumn("rules", F.array_join("rules", ", "))
+
+
+@query("signal_roles")
+def signal_roles(spark, d):
+    """The candlesticks alone, judged: every signal with its score and role."""
+    rows = walks(spark, d)
+    signals = judged.gated(judged.from_candles(rows), rows, "weekly").where("size(reasons) = 0").drop("reasons")
+    return resolution.resolve(signals)[1]
