@@ -81,10 +81,14 @@ def got(df):
     return sorted((rounded(r) for r in df.select("symbol", "end_idx", "length", *FIELDS).collect()), key=repr)
 
 
-@pytest.mark.parametrize("daily", [True, False])
-def test_structures_of_drawn_cases(cases, daily):
-    want = expected(CASES, daily)
-    assert got(charts.detect(cases, daily=daily)) == want
+@pytest.fixture(scope="module")
+def found(cases):
+    return charts.detect(cases).cache()
+
+
+def test_structures_of_drawn_cases(found):
+    want = expected(CASES, True)
+    assert got(found) == want
     by = defaultdict(set)
     for r in want:
         by[r[0]].add(r[3])
@@ -128,10 +132,10 @@ def test_equal_tops_and_distance(spark):
         assert row.select(S.standing_out(F.col("v"), F.lit(distance), F.lit(least))).first()[0] == swings(values, distance, least)
 
 
-def test_best_of_each_family(cases):
-    every = [r for r in charts.detect(cases).collect()]
+def test_best_of_each_family(found):
+    every = found.collect()
     best = defaultdict(list)
     for r in every:
         best[(r["symbol"], r["end_idx"], r["family"])].append((not r["confirmed"], -round(r["confidence"], 9), -r["length"], r["pattern"], r["start"], r["end"]))
-    chosen = {(r["symbol"], r["end_idx"], r["family"]): (not r["confirmed"], -round(r["confidence"], 9), -r["length"], r["pattern"], r["start"], r["end"]) for r in charts.best(charts.detect(cases)).collect()}
+    chosen = {(r["symbol"], r["end_idx"], r["family"]): (not r["confirmed"], -round(r["confidence"], 9), -r["length"], r["pattern"], r["start"], r["end"]) for r in charts.best(found).collect()}
     assert chosen == {k: min(v) for k, v in best.items()}

@@ -157,14 +157,15 @@ def test_a_chain_of_one_case_is_folded_in_order(spark, n):
 
 def test_judged_walks(spark):
     bars = build(supplier_walk(spark, "/root/testdata/sf0.001"))
-    rows = [r.asDict() for r in judged.signals_of(bars, "weekly").collect()]
+    signals = judged.signals_of(bars, "weekly").cache()
+    rows = [r.asDict() for r in signals.collect()]
     kept = [r for r in rows if not r["reasons"]]
     assert {r["kind"] for r in kept} >= {"simple", "combination", "chart"} and len(kept) < len(rows)
     by = defaultdict(list)
     for r in sorted(kept, key=lambda r: (r["case"], r["ord"])):
         by[r["case"]].append(r)
     want = {case: plain(own)[0] for case, own in by.items()}
-    verdicts, _ = judged.judge(bars)
+    verdicts, _ = resolution.resolve(signals.where("size(reasons) = 0").drop("reasons"))
     assert {r["case"]: (r["winner"], r["pattern"], r["direction"], round(r["confidence"], 6), r["state"], r["losers"], r["rules"]) for r in verdicts.collect()} == want
 
 

@@ -11,6 +11,8 @@ and shadows shrink; it is a false break if the last close comes back over it.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -498,12 +500,18 @@ RULES = {
 }
 
 
+@cache
+def built(name: str, jvm: int) -> list[Column]:
+    """The rules of a family as columns, built once in a JVM: they name columns, not a table."""
+    return RULES[name]()
+
+
 def detect(bars: DataFrame, daily: bool = True, rules: tuple[str, ...] = tuple(RULES), **options) -> DataFrame:
     """symbol, end_idx, length and the fields of SIGNAL per signal of every frame (``options`` as in ``swings.frames``)."""
     rows = prepared(with_swings(frames(bars, **options)), daily)
     arrays = {}
     for name in rules:
-        found = RULES[name]()
+        found = built(name, id(bars.sparkSession._jvm))
         arrays[name] = F.concat(*found) if name == "heads" else F.array(*found)
     signals = rows.withColumns(arrays).select("symbol", "end_idx", "length", F.explode(F.array_compact(F.concat(*arrays))).alias("s"))
     return signals.select("symbol", "end_idx", "length", "s.*")

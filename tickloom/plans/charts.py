@@ -55,11 +55,6 @@ def chart_consolidations(spark, d):
     return listed(charts.detect(walks(spark, d), daily=False, rules=("bounded",)))
 
 
-@query("chart_best")
-def chart_best(spark, d):
-    return listed(charts.best(charts.detect(walks(spark, d), daily=False)))
-
-
 @query("judged_signals")
 def judged_signals(spark, d):
     """Candlesticks and chart structures of suppliers' walks, gated, and the verdict of each symbol."""
