@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,35 +126,6 @@ def with_consensus(confidence: Column, direction: Column, confirmed: Column, agr
     return F.when(counts & (agreed == direction), up).when(counts & ~confirmed, down).otherwise(confidence)
 
 
-def chart_set(signals: DataFrame, most_overlap: float = 0.65, spacing: int = 20) -> DataFrame:
-    """Of each asset's chart signals (with family) those that stay: by family, state and confidence, each next one surer, none too close to one that stays."""
-    order = F.row_number().over(Window.partitionBy("asset").orderBy(looked_up(F.col("family"), FAMILY_RANK).desc(), (F.col("state") == "confirmed").desc(), F.col("confidence").desc(), "id"))
-    ranked = signals.where(F.col("kind") == "chart").select("asset", "id", "pattern", "direction", "family", "start", "end", "confidence", order.alias("place"))
-    floors = [0.65, 0.85, 0.93]
-
-    def clash(a, b) -> bool:
-        shared = max(0, min(a.end, b.end) - max(a.start, b.start) + 1)
-        ratio = shared / max(max(a.end, b.end) - min(a.start, b.start) + 1, 1)
-        families = {a.family, b.family}
-        related = families in RELATED
-        limit = 0.40 if related else most_overlap
-        if ratio > limit and (a.direction != b.direction or a.family == b.family or related):
-            return True
-        if len(families) == 2 and families <= FAMILY_RANK.keys() and ratio > 0.35:
-            return True
-        return a.pattern == b.pattern and abs(a.end - b.end) < spacing
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for row in group.sort_values("place").itertuples():
-            floor = floors[len(kept)] if len(kept) < 3 else min(0.995, 0.93 + 0.02 * (len(kept) - 2))
-            if row.confidence >= floor and not any(clash(row, k) for k in kept):
-                kept.append(row)
-        return pd.DataFrame([(k.asset, k.id, n, k.start, k.end) for n, k in enumerate(kept, 1)], columns=["asset", "id", "rank", "start", "end"])
-
-    return ranked.groupBy("asset").applyInPandas(choose, "asset long, id long, rank int, start long, end long")
-
-
 def trend_direction(bars: DataFrame) -> DataFrame:
     """(symbol, trend): up, down, range or unknown, from the last 12 closes: a move of 12 % in 6 bars, then slope and averages."""
     w = ordered()

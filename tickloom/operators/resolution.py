@@ -103,7 +103,10 @@ def rule_edits(signals: DataFrame, matches: DataFrame) -> DataFrame:
     return met.where(wins | loses).select("case", "ord", F.lit(-1).alias("rule"), delta.alias("delta"), F.lit(False).alias("beaten"))
 
 
-def met_pairs(left: DataFrame, right: DataFrame, keys: list[str], apart: Column | int, block: int) -> DataFrame:
+PAIRED = ("ord", "pattern", "direction", "kind", "timeframe", "confirmed", "start", "end", "trend")
+
+
+def met_pairs(left: DataFrame, right: DataFrame, keys: list[str], apart: Column | int, block: int, fields: Sequence[str] = PAIRED) -> DataFrame:
     """Rows of ``left`` with rows of ``right`` (``l`` and ``r``) of equal keys at most ``apart`` bars away, each pair once.
 
     Both sides meet in blocks of bars that they reach; a pair counts in the first block that both reach.
@@ -112,7 +115,7 @@ def met_pairs(left: DataFrame, right: DataFrame, keys: list[str], apart: Column
     def placed(rows: DataFrame, name: str) -> DataFrame:
         reach = F.lit(apart) if isinstance(apart, int) else apart
         low, high = F.floor((F.col("start") - reach) / block), F.floor((F.col("end") + reach) / block)
-        what = F.struct("ord", "pattern", "direction", "kind", "timeframe", "confirmed", "start", "end", "trend").alias(name)
+        what = F.struct(*fields).alias(name)
         return rows.select(*keys, what, low.alias(f"{name}_low"), F.explode(F.sequence(low, high)).alias("block"), *([reach.alias("apart")] if name == "l" else []))
 
     both = placed(left, "l").join(placed(right, "r"), [*keys, "block"]).where(F.col("block") == F.greatest("l_low", "r_low"))
