@@ -1,8 +1,8 @@
 """Indicators that are recurrences, and what is measured on their signals.
 
-A recurrence is sequential within a symbol, so each symbol's bars are one group of
-a grouped pandas function that works on whole columns; all else is window
-functions. The groups run in parallel over symbols (and parameter chunks).
+Linear recurrences run in blocks of time (``recurrence``). SuperTrend isn't linear, so
+each symbol's bars are one group of a grouped pandas function for it; all else is
+window functions.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import recurrence
 from ..functions.rolling import ordered, simple_return
 
 
@@ -35,17 +36,12 @@ def per_symbol(bars: DataFrame, compute, added: str) -> DataFrame:
     return columns.groupBy("symbol").applyInPandas(run, f"symbol string, ts {kind}, close double, {added}")
 
 
-def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    def compute(g: pd.DataFrame) -> pd.DataFrame:
-        dif = ema(g["close"], fast) - ema(g["close"], slow)
-        dea = ema(dif, signal)
-        return pd.DataFrame({"dif": dif, "dea": dea, "hist": 2 * (dif - dea)})
-
-    return per_symbol(bars, compute, "dif double, dea double, hist double")
+def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, block: str = "year") -> DataFrame:
+    return recurrence.run(bars, recurrence.macd(fast, slow, signal), block)
 
 
-def ewm(bars: DataFrame, span: int = 12) -> DataFrame:
-    return per_symbol(bars, lambda g: pd.DataFrame({"ema": ema(g["close"], span)}), "ema double")
+def ewm(bars: DataFrame, span: int = 12, block: str = "year") -> DataFrame:
+    return recurrence.run(bars, recurrence.ewm(span), block)
 
 
 def rsi_values(close: pd.Series, n: int) -> pd.Series:
@@ -55,22 +51,12 @@ def rsi_values(close: pd.Series, n: int) -> pd.Series:
     return (100 - 100 / (1 + gain / loss.where(loss != 0))).fillna(50.0)
 
 
-def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
-    return per_symbol(bars, lambda g: pd.DataFrame({"rsi": rsi_values(g["close"], n)}), "rsi double")
+def rsi(bars: DataFrame, n: int = 14, block: str = "year") -> DataFrame:
+    return recurrence.run(bars, recurrence.rsi(n), block)
 
 
-def kdj(bars: DataFrame, n: int = 9, k: int = 3, d: int = 3) -> DataFrame:
-    """The raw value is 50 while the window isn't full and when its range is zero."""
-
-    def compute(g: pd.DataFrame) -> pd.DataFrame:
-        low, high = g["low"].rolling(n).min(), g["high"].rolling(n).max()
-        width = (high - low).where(high != low)
-        raw = ((g["close"] - low) / width * 100).fillna(50.0)
-        k_line = wilder(raw, k)
-        d_line = wilder(k_line, d)
-        return pd.DataFrame({"k": k_line, "d": d_line, "j": 3 * k_line - 2 * d_line})
-
-    return per_symbol(bars, compute, "k double, d double, j double")
+def kdj(bars: DataFrame, n: int = 9, k: int = 3, d: int = 3, block: str = "year") -> DataFrame:
+    return recurrence.run(bars, recurrence.kdj(n, k, d), block)
 
 
 def atr_values(g: pd.DataFrame, n: int) -> pd.Series:
