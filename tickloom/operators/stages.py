@@ -65,7 +65,8 @@ def weekly_average_by_day(bars: DataFrame, n: int = 12) -> DataFrame:
     known = F.when(F.col("is_last") & F.col("mean").isNotNull(), F.struct(F.col("bar_idx").alias("at"), F.col("mean").alias("value")))
     rows = days.select("symbol", "ts", "bar_idx", known.alias("known"))
     a = F.last("known", ignorenulls=True).over(ordered().rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first("known", ignorenulls=True).over(ordered().rowsBetween(0, Window.unboundedFollowing))
+    backward = Window.partitionBy("symbol").orderBy(F.col("ts").desc())  # a running frame, as one that ends at the last row is built anew for each row
+    b = F.last("known", ignorenulls=True).over(backward.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.select("symbol", "ts", "bar_idx", a.alias("a"), b.alias("b"))
     between = F.col("a.value") + (F.col("b.value") - F.col("a.value")) * F.coalesce(F.try_divide(F.col("bar_idx") - F.col("a.at"), F.col("b.at") - F.col("a.at")), F.lit(0.0))
     return rows.select("symbol", "ts", F.coalesce(between, F.col("a.value"), F.col("b.value")).alias("center"))

@@ -124,9 +124,9 @@ def evidence_overlap(spark, d):
 
 @query(
     "trigger_weights",
-    f"""WITH w AS (SELECT conv_id, turn, lower(array_to_string(string_split(text, ' ')[1:3], ' ')) AS t FROM conversations), c AS (SELECT *, regexp_extract_all(t, '[a-z0-9+#.]+') AS ws FROM w), k AS (SELECT *, len(list_filter(ws, lambda x: x NOT IN ({", ".join(f"'{w}'" for w in S.NON_CONTENT)}))) AS n FROM c)
+    f"""WITH w AS (SELECT conv_id, turn, lower(text) AS t FROM conversations), c AS (SELECT *, regexp_extract_all(t, '[a-z0-9+#.]+') AS ws FROM w), k AS (SELECT *, len(list_filter(ws, lambda x: x NOT IN ({", ".join(f"'{w}'" for w in S.NON_CONTENT)}))) AS n FROM c)
     SELECT conv_id, turn, t, CASE WHEN coalesce(nullif(n, 0), len(ws)) <= 1 THEN 0.4 WHEN coalesce(nullif(n, 0), len(ws)) = 2 THEN 0.55 ELSE 1.0 END AS weight FROM k""",
 )
 def trigger_weights(spark, d):
-    t = F.lower(F.array_join(F.slice(F.split("text", " "), 1, 3), " "))
+    t = F.lower("text")
     return table(spark, d, "conversations").select("conv_id", "turn", t.alias("t"), S.trigger_weight(t).alias("weight"))
