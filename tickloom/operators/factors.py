@@ -66,6 +66,20 @@ def attribution(bars: DataFrame, window: int = 63) -> DataFrame:
     return long.withColumn("rank", rank)
 
 
+def residual_momentum(bars: DataFrame) -> DataFrame:
+    """(symbol, residual_momentum): the 12-1 momentum less beta times that of the benchmark over the same bars; null under 273 returns."""
+    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("ts").desc()))
+    rows = with_benchmark(bars).withColumn("k", back)
+    grown = lambda c: F.product(F.when(F.col("k").between(22, 252), 1 + F.col(c))) - 1
+    rest = grown("ret") - F.regr_slope("ret", "bench") * grown("bench")
+    return rows.groupBy("symbol").agg(F.when(F.count(F.lit(1)) >= 273, rest).alias("residual_momentum"))
+
+
+def peers(bars: DataFrame) -> DataFrame:
+    """Each symbol's returns beside the benchmark and its own return of the bar before."""
+    return with_benchmark(bars).withColumn("before", F.lag("ret").over(ordered()))
+
+
 def solve(rows: DataFrame, y: str, xs: list[str], by: str = "symbol") -> DataFrame:
     """Least squares with intercept: the moments are one aggregate, the small system is solved per key."""
     import numpy as np

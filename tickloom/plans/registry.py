@@ -479,6 +479,29 @@ def attribution(spark, d):
     return rounded(factors.attribution(daily(spark, d)), "contribution", to=5)
 
 
+@query(
+    "residual_momentum",
+    B
+    + BETA
+    + """, q AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM j), g AS (SELECT symbol, count(*) AS cnt, product(1 + ret) FILTER (k BETWEEN 22 AND 252) - 1 AS own, product(1 + bench) FILTER (k BETWEEN 22 AND 252) - 1 AS other FROM q GROUP BY symbol)
+    SELECT symbol, round(CASE WHEN cnt >= 273 THEN own - beta * other END, 5) AS residual_momentum FROM g JOIN z USING (symbol)""",
+)
+def residual_momentum(spark, d):
+    return rounded(factors.residual_momentum(daily(spark, d)), "residual_momentum", to=5)
+
+
+@query(
+    "two_factor_regression",
+    B
+    + BETA
+    + """, l AS (SELECT *, lag(ret) OVER (PARTITION BY symbol ORDER BY ts) AS before FROM j), c AS (SELECT symbol, avg(ret) AS my, avg(bench) AS ma, avg(before) AS mb, covar_pop(ret, bench) AS ya, covar_pop(ret, before) AS yb, var_pop(bench) AS aa, var_pop(before) AS bb, covar_pop(bench, before) AS ab, var_pop(ret) AS yy FROM l WHERE before IS NOT NULL GROUP BY symbol),
+    w AS (SELECT *, (ya * bb - yb * ab) / (aa * bb - ab * ab) AS wa, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS wb FROM c)
+    SELECT symbol, round(my - wa * ma - wb * mb, 5) AS intercept, round(wa, 5) AS bench, round(wb, 5) AS before, round((wa * ya + wb * yb) / yy, 5) AS r2 FROM w""",
+)
+def two_factor_regression(spark, d):
+    return rounded(factors.solve(factors.peers(daily(spark, d)), "ret", ["bench", "before"]), "intercept", "bench", "before", "r2", to=5)
+
+
 @query("factor_regression", B + RETURNS + ", l AS (SELECT symbol, ts, ret, lag(ret) OVER (PARTITION BY symbol ORDER BY ts) AS x FROM n) SELECT symbol, round(regr_intercept(ret, x), 5) AS intercept, round(regr_slope(ret, x), 5) AS lagged, round(regr_r2(ret, x), 5) AS r2 FROM l WHERE x IS NOT NULL GROUP BY symbol")
 def factor_regression(spark, d):
     rows = factors.returns(daily(spark, d)).withColumn("lagged", F.lag("ret").over(R.ordered()))
