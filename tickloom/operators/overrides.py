@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .resolution import canonical
+from ..functions.arrays import let
 
 #: States in which a signal can't win, and the verdict that nothing is there.
 DEAD, NOTHING = ("invalidated", "expired"), "no_pattern"
@@ -43,7 +44,11 @@ def matching(cases: DataFrame, records: DataFrame) -> DataFrame:
 def decided(held: Column, r: Column) -> Column:
     """``held`` after one record."""
     mine = lambda s: F.coalesce((s["name"] == r["winner"]) & ~s["state"].isin(*DEAD), F.lit(False))
-    place = F.array_position(F.transform(held["signals"], mine), True)
+    return let(F.array_position(F.transform(held["signals"], mine), True), lambda place: decided_at(held, r, place))
+
+
+def decided_at(held: Column, r: Column, place: Column) -> Column:
+    """``held`` after a record whose winner is at ``place``, 0 if nowhere."""
 
     def after(s: Column, i: Column) -> Column:
         out = F.array_contains(r["remove"], s["name"]) | ((F.size(r["keep"]) > 0) & ~F.array_contains(r["keep"], s["name"]))
@@ -90,8 +95,9 @@ def override(signals: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFra
     cases = known.groupBy("asset", "timeframe").agg(F.sort_array(F.collect_list(signal.cast(SIGNAL))).alias("signals"))
     ids = F.array().cast("array<string>")
     start = F.struct(F.col("signals"), F.lit(None).cast("long").alias("winner"), none.alias("state"), F.lit(None).cast("double").alias("confidence"), ids.alias("applied"), ids.alias("unmatched")).cast(HELD)
-    record = F.coalesce("records", F.array().cast(matching(cases, records).schema["records"].dataType))
-    done = matching(cases, records).select("asset", "timeframe", F.aggregate(record, start, decided).alias("held"))
+    met = matching(cases, records)
+    record = F.coalesce("records", F.array().cast(met.schema["records"].dataType))
+    done = met.select("asset", "timeframe", F.aggregate(record, start, decided).alias("held"))
     empty = lambda c: F.nullif(c, F.lit("")).alias(c)
     rows = done.select(empty("asset"), empty("timeframe"), F.explode("held.signals").alias("s")).select("asset", "timeframe", "s.*").drop("name")
     return rows, done.select(empty("asset"), empty("timeframe"), "held.winner", "held.state", "held.confidence", "held.applied", "held.unmatched")
