@@ -84,8 +84,12 @@ def levels(bars: DataFrame, radius: int = 5, per_side: int = 3) -> DataFrame:
 
 
 def merge_ranges(ranges: DataFrame, key: str, gap: int = 1) -> DataFrame:
-    """Union of (start_idx, end_idx) ranges that overlap or lie at most ``gap`` apart."""
-    by = Window.partitionBy(key).orderBy("start_idx", "end_idx")
+    """Union of (start_idx, end_idx) ranges that overlap or lie at most ``gap`` apart.
+
+    Rows without a start come last and join the last union. A range that ends before it
+    starts meets not even its own copy, so unions are counted by rows, not by equal ranges.
+    """
+    by = Window.partitionBy(key).orderBy(F.asc_nulls_last("start_idx"), F.asc_nulls_last("end_idx"))
     top = F.max("end_idx").over(by.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(top.isNull() | (F.col("start_idx") > top + gap), 1).otherwise(0)
-    return ranges.withColumn("new", new).withColumn("grp", F.sum("new").over(by)).groupBy(key, "grp").agg(F.min("start_idx").alias("start_idx"), F.max("end_idx").alias("end_idx"), F.count(F.lit(1)).alias("n")).drop("grp")
+    return ranges.withColumn("new", new).withColumn("grp", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "grp").agg(F.min("start_idx").alias("start_idx"), F.max("end_idx").alias("end_idx"), F.count(F.lit(1)).alias("n")).drop("grp")
