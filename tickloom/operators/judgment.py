@@ -104,19 +104,30 @@ def conflicts(signals: DataFrame, separation: int = 1, block: int = 64) -> DataF
 def case_scores(asked: DataFrame, cases: DataFrame, least: float = 0.30, top: int = 8, good: float = 0.65) -> DataFrame:
     """(query_id, case_id, similarity, rank): cases that share a pattern, by patterns, tags, context and quality.
 
-    Queries and cases meet on the pattern, so those without a common one cost nothing.
+    Only the classes of equal queries and of equal cases are compared, those that meet on a
+    pattern. Of a class of cases, which score alike, the first ``top`` by id are enough,
+    and the best are found once a class of queries.
     """
-    usable = cases.where(F.col("quality") >= good)
-    pairs = asked.select("query_id", F.explode("patterns").alias("p")).join(usable.select("case_id", F.explode("patterns").alias("p")), "p").select("query_id", "case_id").distinct()
-    rows = pairs.join(asked, "query_id").join(usable.select("case_id", F.col("patterns").alias("p2"), F.col("tags").alias("t2"), F.col("trend").alias("r2"), F.col("place").alias("l2"), "quality"), "case_id")
+    known_by = ["patterns", "tags", "trend", "place"]
+    named = lambda rows, columns: rows.withColumn("class", F.struct(*columns))
+    queries, usable = named(asked, known_by), named(cases.where(F.col("quality") >= good), [*known_by, "quality"])
+    first = F.row_number().over(Window.partitionBy("class").orderBy("case_id"))
+    members = usable.select("class", "case_id").distinct().withColumn("turn", first).where(F.col("turn") <= top).drop("turn")
+    kinds, others = queries.select("class").distinct(), members.select(F.col("class").alias("other")).distinct()
+    on_pattern = lambda rows, c: rows.select(c, F.explode(F.array_distinct(f"{c}.patterns")).alias("p"))
+    pairs = on_pattern(kinds, "class").join(on_pattern(others, "other"), "p").select("class", "other").distinct()
+    rows = pairs.select("class", "other", "class.*", F.col("other.patterns").alias("p2"), F.col("other.tags").alias("t2"), F.col("other.trend").alias("r2"), F.col("other.place").alias("l2"), F.col("other.quality").alias("quality"))
     jaccard = lambda a, b: F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
     known = lambda c: F.when(~F.col(c).isin("unknown", "any", ""), 1).otherwise(0)
     total = known("r2") + known("l2")
     hit = F.when(F.col("r2") == F.col("trend"), known("r2")).otherwise(0) + F.when(F.col("l2") == F.col("place"), known("l2")).otherwise(0)
     context = F.coalesce(F.try_divide(hit, total), F.lit(0.5))
     score = 0.52 * jaccard(F.col("patterns"), F.col("p2")) + 0.20 * jaccard(F.col("tags"), F.col("t2")) + 0.18 * context + 0.10 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("quality")))
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "case_id"))
-    return rows.select("query_id", "case_id", F.round(score, 9).alias("similarity")).where(F.col("similarity") >= least).withColumn("rank", best).where(F.col("rank") <= top)
+    near = rows.select("class", "other", F.round(score, 9).alias("similarity")).where(F.col("similarity") >= least)
+    best = F.row_number().over(Window.partitionBy("class").orderBy(F.col("similarity").desc(), "case_id"))
+    found = near.join(members.withColumnRenamed("class", "other"), "other").select("class", "case_id", "similarity").withColumn("rank", best).where(F.col("rank") <= top)
+    listed = found.groupBy("class").agg(F.collect_list(F.struct("case_id", "similarity", "rank")).alias("best"))  # ``top`` a class
+    return queries.join(listed.withColumnRenamed("class", "own"), F.col("class").eqNullSafe(F.col("own"))).select("query_id", F.explode("best").alias("b")).select("query_id", "b.*")
 
 
 def with_consensus(confidence: Column, direction: Column, confirmed: Column, agreed: Column, strength: Column, cases: Column) -> Column:
