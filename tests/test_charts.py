@@ -132,6 +132,23 @@ def test_equal_tops_and_distance(spark):
         assert row.select(S.standing_out(F.col("v"), F.lit(distance), F.lit(least))).first()[0] == swings(values, distance, least)
 
 
+def test_swings_of_many_frames_at_once(spark):
+    rng = random.Random(4)
+    rows = [[float(rng.randint(0, 9)) for _ in range(rng.choice([0, 1, 2, 3, 7, 30, 31]))] for _ in range(300)]
+    asked = [(i, v, rng.randint(1, 5), rng.randint(0, 3)) for i, v in enumerate(rows)]
+    odd = [(1000, [1.0, 5.0, None, 2.0, 9.0, 3.0], 1, 0), (1001, [1.0, 5.0, None, 5.0, 1.0], 1, 0), (1002, [1.0, float("nan"), 2.0, 4.0, 1.0], 1, 0), (1003, None, 1, 0)]
+    df = spark.createDataFrame(asked + odd, "i int, v array<double>, distance int, least int")
+    got = {r["i"]: r["p"] for r in df.select("i", S.standing_out(F.col("v"), F.col("distance"), F.col("least")).alias("p")).collect()}
+    assert {i: got[i] for i, *_ in asked} == {i: swings(v, distance, least) for i, v, distance, least in asked}
+    assert [got[i] or [] for i, *_ in odd] == [[1, 4], [], [1, 3], []]
+
+
+def test_swings_read_frames_once(cases):
+    """Every frame is made once and its swings are one numpy function; before, both sides made all frames and every prominence was an expression."""
+    plan = S.swings(cases)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 1 and plan.count("ArrowEvalPython") == 1
+
+
 def test_best_of_each_family(found):
     every = found.collect()
     best = defaultdict(list)

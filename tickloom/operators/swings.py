@@ -1,9 +1,10 @@
 """Frames of a symbol's newest bars, and their swings: peaks and troughs that stand out and stand apart.
 
 A frame is one row: (symbol, end_idx, length) with its bars as arrays of at most
-``MOST`` entries, so all that is asked of it is an expression of that row. By
-default each symbol has the frames that end at its last bar; with ``step`` also
-those that end at every step-th bar, for looking back over a whole history.
+``MOST`` entries, so all that is asked of it is an expression of that row, but for
+swings: these come from numpy over many frames at once. By default each symbol has
+the frames that end at its last bar; with ``step`` also those that end at every
+step-th bar, for looking back over a whole history.
 
 Defined results: equal neighbours are one place, their middle (rounded down); the
 first and the last bar are no swing; a flat series has none. Of swings nearer than
@@ -16,7 +17,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import at, deviation, mean, newest, piece
@@ -28,9 +31,8 @@ FIELDS = ("open", "high", "low", "close", "volume")
 
 def frames(bars: DataFrame, lengths: Sequence[int] = LENGTHS, most: int = MOST, step: int | None = None) -> DataFrame:
     """symbol, end_idx, length, start_idx and the arrays of FIELDS; lengths beyond the history are left out, all of it (at most ``most``) is one."""
-    rows = with_index(bars)
-    final = rows.groupBy("symbol").agg(F.max("bar_idx").alias("last_idx"))
-    rows = rows.join(final, "symbol").where("last_idx - bar_idx < %d" % most if step is None else "true")
+    rows = with_index(bars).where("symbol is not null").withColumn("last_idx", F.max("bar_idx").over(Window.partitionBy("symbol")))
+    rows = rows.where("last_idx - bar_idx < %d" % most if step is None else "true")
     ends = F.array("last_idx")
     if step is not None:
         first = F.ceil(F.col("bar_idx") / step).cast("int") * step
@@ -44,40 +46,83 @@ def frames(bars: DataFrame, lengths: Sequence[int] = LENGTHS, most: int = MOST,
     return cut.select("symbol", "end_idx", "length", (F.col("end_idx") - F.col("length") + 1).alias("start_idx"), *[F.col(f"own.{f}").alias(f) for f in FIELDS])
 
 
-def tops(values: Column) -> Column:
-    """Places higher than both neighbours; of equal neighbours the middle, rounded down."""
-    last = F.size(values) - 1
-
-    def top(i: Column) -> Column:
-        rises = at(values, i) > at(values, i - 1)
-        end = F.array_min(F.filter(F.sequence(i + 1, last), lambda k: at(values, k) != at(values, i)))
-        return F.when(rises & (at(values, end) < at(values, i)), F.floor((i + end - 1) / 2).cast("int"))
-
-    return F.when(last >= 2, F.array_compact(F.transform(F.sequence(F.lit(1), last - 1), top))).otherwise(F.array().cast("array<int>"))
-
-
-def apart(values: Column, places: Column, distance: Column) -> Column:
+def tops(values: np.ndarray) -> np.ndarray:
+    """Where a row is higher than at both neighbours; of equal neighbours the middle, rounded down."""
+    n = values.shape[1]
+    found = np.zeros(values.shape, bool)
+    own, after = values[:, 1:-1], values[:, 2:]
+    rises = own > values[:, :-2]
+    found[:, 1:-1] = rises & (after < own)
+    row, place = np.nonzero(rises & ~((after < own) | (after > own)))  # the next value is equal (or missing)
+    place += 1
+    whole, own = values[row], values[row, place][:, None]
+    ends = ((whole < own) | (whole > own)) & (np.arange(n) > place[:, None])
+    end = ends.argmax(axis=1)
+    falls = ends.any(axis=1) & (whole[np.arange(len(row)), end] < own[:, 0])
+    found[row[falls], (place + end - 1)[falls] // 2] = True
+    return found & ~np.isnan(values)
+
+
+def apart(values: np.ndarray, places: np.ndarray, distance: np.ndarray) -> np.ndarray:
     """The places that stay when the highest first takes ``distance`` to either side."""
-    ranked = F.reverse(F.array_sort(F.transform(places, lambda i: F.struct(at(values, i).alias("value"), i.alias("place")))))
-
-    def take(kept: Column, one: Column) -> Column:
-        near = F.exists(kept, lambda k: F.abs(k - one["place"]) < distance)
-        return F.when(near, kept).otherwise(F.concat(kept, F.array(one["place"])))
-
-    return F.array_sort(F.aggregate(ranked, F.array().cast("array<int>"), take))
-
-
-def prominence(values: Column, place: Column) -> Column:
-    last, own = F.size(values) - 1, at(values, place)
-    higher = lambda k: at(values, k) > own
-    left = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), place), higher)), F.lit(-1))
-    right = F.coalesce(F.array_min(F.filter(F.sequence(place, last), higher)), last + 1)
-    return own - F.greatest(F.array_min(piece(values, left + 1, place)), F.array_min(piece(values, place, right - 1)))
+    n = values.shape[1]
+    kept, left = np.zeros(places.shape, bool), places.copy()
+    while len(row := np.nonzero(left.any(axis=1))[0]):
+        place = n - 1 - np.where(left[row], values[row], -np.inf)[:, ::-1].argmax(axis=1)
+        kept[row, place] = True
+        left[row] &= np.abs(np.arange(n) - place[:, None]) >= distance[row, None]
+        left[row, place] = False
+    return kept
+
+
+def prominence(values: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    n, whole, own, at_ = values.shape[1], values[row], values[row, place], place[:, None]
+    k, higher = np.arange(n), whole > own[:, None]
+    left = np.where(higher & (k < at_), k, -1).max(axis=1)[:, None]
+    right = np.where(higher & (k > at_), k, n).min(axis=1)[:, None]
+    known = np.where(np.isnan(whole), np.inf, whole)
+    lowest = [np.where(within, known, np.inf).min(axis=1) for within in ((k > left) & (k <= at_), (k >= at_) & (k < right))]
+    return np.where(own == np.inf, np.inf, own - np.maximum(*lowest))
+
+
+def swings_of(values: pa.Array, distance: pa.Array, least: pa.Array) -> pa.Array:
+    """Per row its swings as (place, prominence): tops, apart from each other, of at least that prominence.
+
+    Rows of equal length are one matrix. A missing value is NaN there, which is higher
+    and lower than nothing; Spark's NaN, which is higher than all numbers, is infinite.
+    """
+    flat = values.flatten()
+    missing = flat.is_null().to_numpy(zero_copy_only=False)
+    flat = np.nan_to_num(flat.fill_null(0.0).to_numpy(zero_copy_only=False).astype(float), nan=np.inf, posinf=np.inf, neginf=-np.inf)
+    flat[missing] = np.nan
+    sizes = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int)
+    starts = np.cumsum(sizes) - sizes
+    distance, least = (np.asarray(x.cast(pa.float64()).to_numpy(zero_copy_only=False)) for x in (distance, least))
+    rows, places, heights = [], [], []
+    for n in np.unique(sizes[sizes > 2]):
+        same = np.nonzero(sizes == n)[0]
+        for of in np.array_split(same, len(same) // 2000 + 1):
+            own = flat[starts[of][:, None] + np.arange(n)]
+            row, place = np.nonzero(apart(own, tops(own), distance[of]))
+            height = prominence(own, row, place)
+            high = height >= np.where(np.isnan(least[of]), np.inf, least[of])[row]
+            rows.append(of[row[high]])
+            places.append(place[high])
+            heights.append(height[high])
+    rows, places, heights = (np.concatenate([np.zeros(0, kind), *x]).astype(kind) for x, kind in ((rows, int), (places, "int32"), (heights, float)))
+    order = np.lexsort((places, rows))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(sizes)))]).astype("int32")
+    pairs = pa.StructArray.from_arrays([pa.array(places[order]), pa.array(heights[order])], ["place", "prominence"])
+    return pa.ListArray.from_arrays(pa.array(offsets), pairs)
+
+
+def found(values: Column, distance: Column, least: Column) -> Column:
+    return F.arrow_udf(swings_of, "array<struct<place:int,prominence:double>>")(values, distance, least)
 
 
 def standing_out(values: Column, distance: Column, least: Column) -> Column:
     """Places of swings: tops, apart from each other, of at least that prominence."""
-    return F.filter(apart(values, tops(values), distance), lambda i: prominence(values, i) >= least)
+    return found(values, distance, least)["place"]
 
 
 def with_swings(rows: DataFrame) -> DataFrame:
@@ -91,20 +136,16 @@ def with_swings(rows: DataFrame) -> DataFrame:
         "prominence": F.greatest(F.col("atr") * 0.8, deviation(F.col("close"), 1) * 0.12),
         "depths": F.transform("low", lambda x: -x),
     })
-    peaks = standing_out(F.col("high"), F.col("distance"), F.col("prominence"))
-    troughs = standing_out(F.col("depths"), F.col("distance"), F.col("prominence"))
-    return rows.withColumns({"peaks": peaks, "troughs": troughs}).drop("depths")
+    sides = {f"{name}_found": found(F.col(values), F.col("distance"), F.col("prominence")) for name, values in (("peaks", "high"), ("troughs", "depths"))}
+    return rows.withColumns(sides).withColumns({"peaks": F.col("peaks_found.place"), "troughs": F.col("troughs_found.place")}).drop("depths")
 
 
 def swings(bars: DataFrame, **options) -> DataFrame:
     """symbol, end_idx, length, kind, bar_idx, price, prominence per swing of ``frames``."""
     rows = with_swings(frames(bars, **options))
 
-    def side(kind: str, places: str, values: Column, price: str) -> DataFrame:
-        one = F.transform(places, lambda i: F.struct(i.alias("place"), at(F.col(price), i).alias("price"), prominence(values, i).alias("prominence")))
-        found = rows.select("symbol", "end_idx", "length", "start_idx", F.lit(kind).alias("kind"), F.explode(one).alias("s"))
-        return found.select("symbol", "end_idx", "length", "kind", (F.col("start_idx") + F.col("s.place")).alias("bar_idx"), "s.price", "s.prominence")
-
-    return side("peak", "peaks", F.col("high"), "high").unionByName(side("trough", "troughs", F.transform("low", lambda x: -x), "low"))
-
+    def side(kind: str, found: str, price: str) -> Column:
+        return F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), (F.col("start_idx") + s["place"]).alias("bar_idx"), at(F.col(price), s["place"]).alias("price"), s["prominence"].alias("prominence")))
 
+    both = F.concat(side("peak", "peaks_found", "high"), side("trough", "troughs_found", "low"))
+    return rows.select("symbol", "end_idx", "length", F.explode(both).alias("s")).select("symbol", "end_idx", "length", "s.*")
