@@ -4,6 +4,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.operators import averages, choice, events, judgment
 
@@ -73,6 +74,28 @@ def test_chart_set(spark):
     assert max(r["rank"] for r in got) > 3
 
 
+SIGNAL = "asset long, id long, pattern string, kind string, direction string, state string, confidence double, start long, end long, family string"
+
+
+def test_chart_set_makes_no_pairs(spark):
+    """A crowd of signals of one asset on one place passes by those that stay; before, each met each."""
+    rows = [(1, n, "pqrs"[n % 4], "chart", "bullish", "confirmed", 1.0, n % 3, 30 + n % 3, "triangle") for n in range(20_000)]
+    got = choice.chart_set(spark.createDataFrame(rows, SIGNAL))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["id"], r["rank"]) for r in got.collect()] == [(0, 1)]
+    assert [judgment.threshold_after(k) for k in range(9)] == [r[0] for r in spark.range(9).orderBy("id").select(judgment.rolling_threshold(F.col("id"))).collect()]
+
+
+def test_chart_set_of_odd_signals(spark):
+    odd = [
+        (1, 1, "p", "chart", "bullish", "confirmed", 1.0, None, 30, "triangle"), (1, 2, "p", "chart", "bullish", "confirmed", 1.0, 0, 30, "triangle"),
+        (1, 3, None, "chart", None, "confirmed", 1.0, 200, 230, None), (1, 4, None, "chart", None, None, 1.0, 201, 231, None), (1, 5, "q", "chart", "bullish", "confirmed", None, 400, 430, "box"),
+        (None, 6, "p", "chart", "bullish", "confirmed", float("nan"), 0, 30, "triangle"), (2, 7, "p", "chart", "bullish", "confirmed", 1.0, 90, 30, "triangle"), (2, 8, "p", "chart", "bullish", "confirmed", 1.0, 90, 30, "triangle"),
+    ]
+    got = choice.chart_set(spark.createDataFrame(odd, SIGNAL)).collect()
+    assert sorted((r["id"], r["rank"]) for r in got) == [(1, 1), (2, 2), (3, 3), (6, 1), (7, 1), (8, 2)]
+
+
 def walk(seed, n, drift=0.0004):
     rng, close = random.Random(seed), [100.0]
     while len(close) < n:

@@ -41,6 +41,11 @@ def rolling_threshold(rank: Column) -> Column:
     return F.when(rank <= 0, 0.65).when(rank == 1, 0.85).when(rank == 2, 0.93).otherwise(F.least(F.lit(0.995), 0.93 + 0.02 * (rank - 2)))
 
 
+def threshold_after(held: int) -> float:
+    """``rolling_threshold`` of a number."""
+    return (0.65, 0.85, 0.93)[held] if held < 3 else min(0.995, 0.93 + 0.02 * (held - 2))
+
+
 def overlap_of_shorter(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
     shared = F.greatest(F.lit(0), F.least(end, other_end) - F.greatest(start, other_start) + 1)
     return shared / F.greatest(F.lit(1), F.least(end - start, other_end - other_start) + 1)
