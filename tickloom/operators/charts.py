@@ -279,11 +279,11 @@ def island() -> Column:
         met = F.flatten(F.transform(first, lambda a: F.transform(F.filter(second, lambda b: (b > a) & (b <= a + reach)), lambda b: F.struct((-b).alias("late"), F.lit(0 if top else 1).alias("kind"), a.alias("a"), b.alias("b")))))
 
         def stands(p: Column) -> Column:
-            own_high, own_low = F.array_max(piece(high, p["a"], p["b"] - 1)), F.array_min(piece(low, p["a"], p["b"] - 1))
+            own = F.struct(F.array_max(piece(high, p["a"], p["b"] - 1)).alias("high"), F.array_min(piece(low, p["a"], p["b"] - 1)).alias("low"))
             after = piece(close, p["b"], n - 1)
             if top:
-                return (own_low > F.greatest(at(high, p["a"] - 1), at(high, p["b"])) * 1.001) & ~F.exists(after, lambda c: c > own_high)
-            return (own_high < F.least(at(low, p["a"] - 1), at(low, p["b"])) * 0.999) & ~F.exists(after, lambda c: c < own_low)
+                return let(own, lambda o: (o["low"] > F.greatest(at(high, p["a"] - 1), at(high, p["b"])) * 1.001) & ~F.exists(after, lambda c: c > o["high"]))
+            return let(own, lambda o: (o["high"] < F.least(at(low, p["a"] - 1), at(low, p["b"])) * 0.999) & ~F.exists(after, lambda c: c < o["low"]))
 
         return F.filter(met, stands)
 
@@ -295,7 +295,7 @@ def island() -> Column:
             later = piece(close, p["b"], n - 1)
             strong = F.exists(later, lambda c: F.when(top, c <= level * 0.97).otherwise(c >= level * 1.03))
             outside = F.transform(later, lambda c: F.when(top, c < level).otherwise(c > level))
-            three = F.exists(F.sequence(F.lit(0), F.greatest(F.size(later) - 3, F.lit(0))), lambda i: at(outside, i) & at(outside, i + 1) & at(outside, i + 2))
+            three = let(outside, lambda out: F.exists(F.sequence(F.lit(0), F.greatest(F.size(out) - 3, F.lit(0))), lambda i: at(out, i) & at(out, i + 1) & at(out, i + 2)))
             shrinks = F.coalesce((F.size(later) >= 3) & F.col("calm_bars"), F.lit(False))
             sure = F.coalesce(F.when(F.col("daily"), strong & shrinks).otherwise(strong | three), F.lit(False))
             name = F.when(top, "island_reversal_top").otherwise("island_reversal_bottom")
@@ -304,7 +304,8 @@ def island() -> Column:
 
         return let(level, made)
 
-    found = F.array_sort(F.concat(pairs(up, down, True), pairs(down, up, False)))
+    gaps = F.struct(up.alias("up"), down.alias("down"))
+    found = let(gaps, lambda g: F.array_sort(F.concat(pairs(g["up"], g["down"], True), pairs(g["down"], g["up"], False))))
     return let(F.get(found, F.lit(0)), lambda p: F.when(p.isNotNull(), told(p)))
 
 
