@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.plain_charts import Frame, frames, rounded, swings
+from tickloom.functions.arrays import line, parabola
 from tickloom.operators import charts
 from tickloom.operators import swings as S
 from tickloom.operators.bars import build
@@ -149,6 +150,14 @@ def test_swings_read_frames_once(cases):
     assert plan.count("InMemoryRelation") == 1 and plan.count("ArrowEvalPython") == 1
 
 
+def test_fits_make_their_points_once(spark):
+    """The points of a fit may be long expressions; before, they were made anew for each sum."""
+    rows = spark.createDataFrame([([1.0, 2.0, 4.0], [3.0, 1.0, 2.0])], "xs array<double>, ys array<double>")
+    for fit in (line, parabola):
+        made = rows.select(fit(F.col("xs"), F.col("ys")).alias("fit"))._jdf.queryExecution().analyzed().toString().splitlines()[0]
+        assert made.count("xs#") == 1 and made.count("ys#") == 1
+
+
 def test_best_of_each_family(found):
     every = found.collect()
     best = defaultdict(list)

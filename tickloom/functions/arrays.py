@@ -66,7 +66,10 @@ def place_of_most(values: Column) -> Column:
 
 def line(xs: Column, ys: Column) -> Column:
     """Least squares as (slope, intercept, r2), r2 within 0 and 1 and 1 for equal values; of fewer than two points (0, the last value, 0)."""
+    return let(F.struct(xs.alias("xs"), ys.alias("ys")), lambda p: line_through(p["xs"], p["ys"]))
 
+
+def line_through(xs: Column, ys: Column) -> Column:
     def fitted(m: Column) -> Column:
         cross = F.aggregate(F.zip_with(xs, ys, lambda x, y: (x - m["x"]) * (y - m["y"])), F.lit(0.0), lambda held, v: held + v)
         return let(
@@ -88,7 +91,10 @@ def on(fit: Column, x: Column) -> Column:
 
 def parabola(xs: Column, ys: Column) -> Column:
     """Least squares a x^2 + b x + c as (a, b, c, r2), from sums about the middle; null where the points decide none."""
+    return let(F.struct(xs.alias("xs"), ys.alias("ys")), lambda p: parabola_along(p["xs"], p["ys"]))
+
 
+def parabola_along(xs: Column, ys: Column) -> Column:
     def moments(m: Column) -> Column:
         def power(k: int) -> Column:
             return F.aggregate(xs, F.lit(0.0), lambda held, x: held + F.pow(x - m["x"], F.lit(float(k))))
