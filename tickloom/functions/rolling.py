@@ -42,12 +42,3 @@ def simple_return(x: str = "close") -> Column:
 def run_id(changes: Column) -> Column:
     """A number for each run of rows between changes."""
     return F.sum(F.when(changes, 1).otherwise(0)).over(ordered())
-
-
-def trend_state(ret: Column, lookback: int = 120) -> Column:
-    """uptrend, downtrend or neutral: a return beyond the outer quartiles of the ``lookback`` returns before it."""
-    past = ordered().rowsBetween(-lookback, -1)
-    full = F.count(ret).over(past) >= max(10, lookback // 4)
-    up = full & (ret > 0) & (ret >= F.percentile(ret, 0.75).over(past))
-    down = full & (ret < 0) & (ret <= F.percentile(ret, 0.25).over(past))
-    return F.when(up, "uptrend").when(down, "downtrend").otherwise("neutral")

@@ -15,7 +15,8 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import ordered, rolling_quantile, sma, trend_state
+from ..functions.quantiles import RETURNS, Ask, trend_state, with_quantiles
+from ..functions.rolling import ordered, sma
 
 LONG_UPPER = "us / nullif(r, 0) > 0.55 and ls / nullif(r, 0) < 0.10 and b / nullif(r, 0) < 0.30"
 LONG_LOWER = "ls / nullif(r, 0) > 0.55 and us / nullif(r, 0) < 0.10 and b / nullif(r, 0) < 0.30"
@@ -110,18 +111,23 @@ PRIORITY = (
 ).split()
 
 
+#: The quantiles that detectors ask for.
+ASKS = RETURNS | {
+    "middle": Ask("b", 0.5, 20, 3), "high_mark": Ask("h", 0.8, 10, 3), "low_mark": Ask("l", 0.2, 10, 3), "close_high": Ask("c", 0.8, 20, 5), "close_low": Ask("c", 0.2, 20, 5),
+}
+
+
 def components(bars: DataFrame) -> DataFrame:
     w = ordered()
     rows = bars.select("symbol", "ts", F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"))
-    rows = rows.withColumns({"b": F.abs(F.col("c") - F.col("o")), "r": F.col("h") - F.col("l"), "us": F.col("h") - F.greatest("o", "c"), "ls": F.least("o", "c") - F.col("l"), "i": F.row_number().over(w)})
+    rows = rows.withColumns({"b": F.abs(F.col("c") - F.col("o")), "ret": F.try_divide("c", F.lag("c", 20).over(w)) - 1})
+    rows = with_quantiles(rows, ASKS)
+    rows = rows.withColumns({"r": F.col("h") - F.col("l"), "us": F.col("h") - F.greatest("o", "c"), "ls": F.least("o", "c") - F.col("l"), "i": F.row_number().over(w)})
     five, before5 = w.rowsBetween(1, 5), w.rowsBetween(-5, -1)
     past5 = F.count(F.lit(1)).over(before5) >= 3
     rows = rows.withColumns({
         "mb": sma(F.col("b"), 20, 5), "mr": sma(F.col("r"), 20, 5), "mc": sma(F.col("c"), 20, 5),
-        "med": F.coalesce(F.nullif(rolling_quantile(F.col("b"), 0.5, 20, 3), F.lit(0.0)), F.percentile("b", 0.5).over(Window.partitionBy("symbol"))),
-        "high_mark": rolling_quantile(F.col("h"), 0.8, 10, 3), "low_mark": rolling_quantile(F.col("l"), 0.2, 10, 3),
-        "close_high": rolling_quantile(F.col("c"), 0.8, 20, 5), "close_low": rolling_quantile(F.col("c"), 0.2, 20, 5),
-        "ret": F.try_divide("c", F.lag("c", 20).over(w)) - 1,
+        "med": F.coalesce(F.nullif("middle", F.lit(0.0)), F.percentile("b", 0.5).over(Window.partitionBy("symbol"))),
         "high5": F.when(past5, F.max("h").over(before5)), "low5": F.when(past5, F.min("l").over(before5)),
         "after": F.count("c").over(five), "least_close": F.min("c").over(five), "least_low": F.min("l").over(five),
         "next_o": F.lead("o").over(w), "next_c": F.lead("c").over(w),
@@ -137,14 +143,17 @@ def guarded(predicate: str) -> str:
     return re.sub(r"/ (\w+)\b(?!\()", r"/ nullif(\1, 0)", predicate)
 
 
-def detect(bars: DataFrame, group: str | None = None) -> DataFrame:
-    """(symbol, ts, pattern, direction, bars): one row per bar and pattern that it completes."""
+def detect(bars: DataFrame, group: str | None = None, recent: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(symbol, ts, pattern, direction, bars): one row per bar and pattern that it completes; if asked only for each symbol's last bars, and with more of ``components``."""
     hits = []
     for name in GROUPS[group] if group else PREDICATES:
         direction, n, predicate = PREDICATES[name]
         event = F.struct(F.lit(name).alias("pattern"), F.lit(direction).alias("direction"), F.lit(n).alias("bars"))
         hits.append(F.when(F.coalesce(F.expr(guarded(predicate)), F.lit(False)), event))
-    return components(bars).select("symbol", "ts", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("symbol", "ts", "hit.*")
+    rows = components(bars)
+    if recent is not None:
+        rows = rows.withColumn("last_i", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).where(F.col("i") > F.col("last_i") - recent)
+    return rows.select("symbol", "ts", *keep, F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("symbol", "ts", *keep, "hit.*")
 
 
 def strongest(patterns: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from .bars import with_index
 
 FAR = 0.03
 TINY = 1e-12
+#: What a span asks of a bar.
+KEPT = ("bulls", "bears", "bull_run", "bear_run", "is_bull", "is_bear", "to_last", "high_after", "low_after", "all_fall", "all_rise", "held_above", "held_below", "high", "low")
 
 
 def run_up_to(holds: Column) -> Column:
@@ -78,18 +80,17 @@ def span_evidence(spans: DataFrame, bars: DataFrame) -> DataFrame:
     places = {"start": "start", "end": "end", "second": "second", "after": "after"}
     asks = F.explode(F.array(*[F.struct(F.lit(role).alias("role"), F.col(c).cast("int").alias("bar_idx")) for role, c in places.items()]))
     asked = spans.select("id", "symbol", "k", asks.alias("ask")).select("id", "symbol", "k", "ask.role", "ask.bar_idx")
-    kept = ["bulls", "bears", "bull_run", "bear_run", "is_bull", "is_bear", "to_last", "high_after", "low_after", "all_fall", "all_rise", "held_above", "held_below"]
-    bar = lookups(bars, most).select("symbol", "bar_idx", *kept, "highs", "lows")
+    bar = lookups(bars, most).select("symbol", "bar_idx", *KEPT[:-2], "highs", "lows")
     found = asked.join(bar, ["symbol", "bar_idx"])
     found = found.withColumns({"high": F.get("highs", "k"), "low": F.get("lows", "k")}).drop("highs", "lows")
-    of = lambda role: F.max(F.when(F.col("role") == role, F.struct(*kept, "high", "low"))).alias(role)
-    met = found.groupBy("id").agg(*[of(role).alias(f"at_{role}") for role in places])
+    # plain columns: a hash takes them, and those that nobody asks for fall away
+    met = found.groupBy("id").agg(*[F.max(F.when(F.col("role") == role, F.col(c))).alias(f"{c}_at_{role}") for role in places for c in KEPT])
     return spans.join(met, "id").select("id", "symbol", "start", "end", "level", "bullish", "after", *told())
 
 
 def told() -> list[Column]:
-    end, start, second, after = (F.col(f"at_{role}") for role in ("end", "start", "second", "after"))
-    n, follow = F.col("n"), F.coalesce(F.col("at_after.to_last"), F.lit(0))
+    end, start, second, after = ({c: F.col(f"{c}_at_{role}") for c in KEPT} for role in ("end", "start", "second", "after"))
+    n, follow = F.col("n"), F.coalesce(after["to_last"], F.lit(0))
     strong = F.when(F.col("bullish"), after["high_after"] >= F.col("level") * (1 + FAR)).otherwise(after["low_after"] <= F.col("level") * (1 - FAR))
     steady = F.when(F.col("bullish"), after["held_above"] > F.col("level")).otherwise(after["held_below"] < F.col("level"))
     reach = F.when(F.col("bullish"), after["high_after"] / F.col("level") - 1).otherwise(1 - after["low_after"] / F.col("level"))

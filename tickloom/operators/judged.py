@@ -20,10 +20,9 @@ FIELDS = ("symbol", "pattern", "kind", "direction", "confidence", "start", "end"
 AGAINST = {"three_reverse_bullish": "bearish"}
 
 
-def from_candles(bars: DataFrame) -> DataFrame:
-    """FIELDS per candlestick of ``candles.detect``: of one bar simple, of more a combination."""
-    place = with_index(bars).select("symbol", "ts", F.col("bar_idx").alias("end"))
-    found = candles.detect(bars).join(place, ["symbol", "ts"])
+def from_candles(bars: DataFrame, recent: int | None = None) -> DataFrame:
+    """FIELDS per candlestick of ``candles.detect``: of one bar simple, of more a combination; if asked only of each symbol's last bars."""
+    found = candles.detect(bars, recent=recent, keep=("i",)).withColumn("end", F.col("i") - 1)
     pattern = resolution.canonical(F.col("pattern"))
     way = F.when(F.col("direction").isin("bull", "bullish"), "bullish").when(F.col("direction").isin("bear", "bearish"), "bearish").otherwise("neutral")
     for name, direction in AGAINST.items():
@@ -51,11 +50,15 @@ def merged(signals: DataFrame) -> DataFrame:
 
 def gated(signals: DataFrame, bars: DataFrame, timeframe: str, recent: int = 120) -> DataFrame:
     """What ``resolution.resolve`` takes, with the reasons of the gate (empty: it passes), for signals that end in the last ``recent`` bars."""
-    history = evidence.history_evidence(bars).select("symbol", "trend", "atr", (F.col("bar_count") - 1).alias("last_idx"))
-    rows = merged(signals.select(*FIELDS)).join(history, "symbol").where(F.col("end") > F.col("last_idx") - recent)
+    history = once(evidence.history_evidence(bars).select("symbol", "trend", "atr", (F.col("bar_count") - 1).alias("last_idx")), "history")
+    rows = merged(signals.select(*FIELDS).join(history.select("symbol", "last_idx"), "symbol").where(F.col("end") > F.col("last_idx") - recent)).join(history.drop("last_idx"), "symbol")
     ord_ = F.row_number().over(Window.partitionBy("symbol").orderBy("start", "end", "pattern")) - 1
     rows = once(rows.withColumn("ord", ord_).withColumn("id", F.concat_ws(":", "symbol", F.col("ord").cast("string"))), "signals")
-    told = evidence.span_evidence(rows.select("id", "symbol", "start", "end"), bars).select("id", *resolution.EVIDENCE)
+    # bars before a symbol's first span say nothing of its spans
+    first = rows.groupBy("symbol").agg(F.greatest(F.min("start"), F.lit(0)).alias("first"))
+    asked = with_index(bars).join(first, "symbol").where(F.col("bar_idx") >= F.col("first")).drop("bar_idx", "first")
+    spans = rows.join(first, "symbol").select("id", "symbol", *[(F.col(c) - F.col("first")).cast("int").alias(c) for c in ("start", "end")])
+    told = evidence.span_evidence(spans, asked).select("id", *resolution.EVIDENCE)
     reasons = gate_reasons(F.coalesce("family", F.lit("")), F.col("pivots"), F.coalesce(F.col("height") / F.col("atr"), F.lit(0.0)))
     rows = rows.join(told, "id").withColumns({"case": F.col("symbol"), "timeframe": F.lit(timeframe), "state": F.when(F.col("confirmed"), "confirmed").when(F.col("kind") == "chart", "candidate").otherwise("detected"), "reasons": reasons})
     return rows.select("case", "ord", "pattern", "kind", "direction", "timeframe", "state", "confirmed", "confidence", "start", "end", "family", "trend", *resolution.EVIDENCE, "reasons")
@@ -63,8 +66,15 @@ def gated(signals: DataFrame, bars: DataFrame, timeframe: str, recent: int = 120
 
 def signals_of(bars: DataFrame, timeframe: str, recent: int = 120) -> DataFrame:
     """``gated`` candlesticks and chart structures of ``bars``."""
+    bars = once(bars, "bars")  # patterns, histories and spans ask for them
     structures = once(charts.best(charts.detect(bars, daily=timeframe == "daily")), "structures")  # its plan is too large to go on from
-    return gated(once(from_candles(bars).unionByName(from_charts(structures)), "found"), bars, timeframe, recent)
+    return gated(once(from_candles(bars, recent).unionByName(from_charts(structures)), "found"), bars, timeframe, recent)
+
+
+def candles_of(bars: DataFrame, timeframe: str, recent: int = 120) -> DataFrame:
+    """``gated`` candlesticks of ``bars``."""
+    bars = once(bars, "bars")
+    return gated(from_candles(bars, recent), bars, timeframe, recent)
 
 
 def judge(bars: DataFrame, timeframe: str = "weekly", recent: int = 120) -> tuple[DataFrame, DataFrame]:

@@ -65,6 +65,5 @@ def judged_signals(spark, d):
 @query("signal_roles")
 def signal_roles(spark, d):
     """The candlesticks alone, judged: every signal with its score and role."""
-    rows = walks(spark, d)
-    signals = judged.gated(judged.from_candles(rows), rows, "weekly").where("size(reasons) = 0").drop("reasons")
+    signals = judged.candles_of(walks(spark, d), "weekly").where("size(reasons) = 0").drop("reasons")
     return resolution.resolve(signals)[1]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import quantiles
 from ..functions import rolling as R
 from ..operators import averages, bars, candles, chan, events, factors, indicators, retrieval, search, structure, valuation
 from ..sources import bars as sources
@@ -185,7 +186,8 @@ def run_lengths(spark, d):
 @query("trend_context", B + candle_sql.FEATURES + " SELECT symbol, ts, CASE trend WHEN 'up' THEN 'uptrend' WHEN 'down' THEN 'downtrend' ELSE 'neutral' END AS context, round(ret, 6) AS ret FROM f")
 def trend_context(spark, d):
     rows = daily(spark, d).select("symbol", "ts", (F.try_divide("close", F.lag("close", 20).over(R.ordered())) - 1).alias("ret"))
-    return rounded(rows.select("symbol", "ts", R.trend_state(F.col("ret")).alias("context"), "ret"), "ret")
+    rows = quantiles.with_quantiles(rows.select("symbol", "ts", "ret"), quantiles.RETURNS)
+    return rounded(rows.select("symbol", "ts", quantiles.trend_state(F.col("ret")).alias("context"), "ret"), "ret")
 
 
 def recursion(columns: str, first: str, step: str, out: str, source: str = "i") -> str:
