@@ -158,6 +158,30 @@ def test_fits_make_their_points_once(spark):
         assert made.count("xs#") == 1 and made.count("ys#") == 1
 
 
+def test_islands_of_many_gaps(spark):
+    """Walks in which nearly every bar is a gap; before, each frame met all its pairs of gaps in expressions."""
+    rng, rows = random.Random(8), []
+    for i in range(600):
+        n, price, bars = rng.choice([1, 2, 30, 45, 61]), 100.0, []
+        for _ in range(n):
+            price *= math.exp(rng.gauss(0, 0.03))
+            close = price if i % 3 else round(price / 4) * 4.0
+            wide = rng.choice([0, 0, 0.2, 1, 3])
+            bars.append({"open": close, "high": close + wide, "low": close - wide, "close": close, "volume": 1.0})
+        rows.append(bars)
+    asked = [(i, *([b[k] for b in bars] for k in ("high", "low", "close"))) for i, bars in enumerate(rows)]
+    asked.append((600, [1.0, None, 1.0], [1.0, 2.0, 1.0], [1.0, 2.0, None]))
+    df = spark.createDataFrame(asked, "i int, high array<double>, low array<double>, close array<double>").repartition(3)
+    found = {r["i"]: r["isle"] for r in charts.with_islands(df).collect()}
+    assert "ArrowEvalPython" in charts.with_islands(df)._jdf.queryExecution().optimizedPlan().toString() and found.pop(600) is None
+    want = {}
+    for i, bars in enumerate(rows):
+        frame = Frame(bars, 0, False)
+        frame.island(0.0)
+        want[i] = [("island_reversal_" + ("top" if f["top"] else "bottom"), f["a"], f["b"]) for f in [found[i]] if f], [(s[0], s[3], s[4]) for s in frame.found]
+    assert all(a == b for a, b in want.values()) and sum(bool(a) for a, _ in want.values()) > 100
+
+
 def test_best_of_each_family(found):
     every = found.collect()
     best = defaultdict(list)

@@ -2,7 +2,8 @@
 
 Every rule is an expression of one frame (``swings.frames``): its bars and swings
 are arrays of at most 120 entries. A rule gives signal structs or null, so all
-rules of all frames run in one pass after the frames are grouped.
+rules of all frames run in one pass after the frames are grouped. Islands, whose
+pairs of gaps are many, come from numpy over many frames at once, as swings do.
 
 A signal's places are bar numbers of the history. Levels: a signal is confirmed if
 the last close is 3 % beyond its level and, for daily bars, the last three bodies
@@ -13,11 +14,13 @@ from __future__ import annotations
 
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import at, deviation, let, line, mean, median, newest, on, parabola, piece, place_of_least, place_of_most, span
-from .swings import frames, with_swings
+from .swings import flat_of, frames, matrices, with_swings
 
 POINT = "struct<place:int,price:double,role:string>"
 LINE = "struct<role:string,x1:int,y1:double,x2:int,y2:double>"
@@ -268,27 +271,55 @@ def sharp_turn(bottom: bool) -> Column:
     return let(place, lambda i: F.when((i > n * 0.2) & (i < n * 0.8), let(flanks(i, width), told)))
 
 
+def standing(high: np.ndarray, low: np.ndarray, close: np.ndarray, rise: float, fall: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, a, b) of gaps up before a and down before b with nothing but the island between them, that no later close rises above; nearer pairs first."""
+    n = low.shape[1]
+    row, a = np.nonzero(low[:, 1:] > high[:, :-1] * rise)
+    a += 1
+    falls = np.zeros(low.shape, bool)
+    falls[:, 1:] = high[:, 1:] < low[:, :-1] * fall
+    after = np.maximum.accumulate(close[:, ::-1], axis=1)[:, ::-1]  # NaN if one is missing, which no pair outlives
+    least, most, found = low[row, a], high[row, a], []
+    for width in range(1, max(12, n // 3) + 1):
+        held = (a + width < n) & (least > high[row, a - 1] * rise)  # a wider island is no higher
+        row, a, least, most = row[held], a[held], least[held], most[held]
+        if not len(row):
+            break
+        b = a + width
+        fits = falls[row, b] & (least > np.fmax(high[row, a - 1], high[row, b]) * rise) & (after[row, b] <= most)
+        found.append((row[fits], a[fits], b[fits]))
+        least, most = np.fmin(least, low[row, b]), np.fmax(most, high[row, b])
+    return tuple(np.concatenate([np.zeros(0, int), *x]).astype(int) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
+
+
+def islands_of(high: pa.Array, low: pa.Array, close: pa.Array) -> pa.Array:
+    """Per frame the last island: of equal ends a top before a bottom, then the longest; null without one."""
+    (highs, starts, sizes), (lows, *_), (closes, *_) = flat_of(high), flat_of(low), flat_of(close)
+    best, first = np.full(len(sizes), -1), np.zeros(len(sizes), int)
+    for of, at_ in matrices(starts, sizes, 2):
+        h, x, c = highs[at_], lows[at_], closes[at_]
+        for top, found in ((0, standing(-x, -h, -c, 0.999, 1.001)), (1, standing(h, x, c, 1.001, 0.999))):
+            row, a, b = found
+            order = np.lexsort((-a, b, row))  # a row's last place has its latest end and longest island
+            row, a, b = of[row[order]], a[order], b[order]
+            last = np.append(row[1:] != row[:-1], True)[: len(row)]
+            row, a, rank = row[last], a[last], b[last] * 2 + top
+            better = rank > best[row]
+            best[row[better]], first[row[better]] = rank[better], a[better]
+    parts = [pa.array(best % 2 == 1), pa.array(first.astype("int32")), pa.array((best // 2).astype("int32"))]
+    return pa.StructArray.from_arrays(parts, ["top", "a", "b"], mask=pa.array(best < 0))
+
+
+def with_islands(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("isle", F.arrow_udf(islands_of, "struct<top:boolean,a:int,b:int>")("high", "low", "close"))
+
+
 def island() -> Column:
     """The last pair of opposite gaps with nothing but the island between them, that price has not come back through."""
     n, high, low, close = F.col("length"), F.col("high"), F.col("low"), F.col("close")
-    up = F.filter(F.sequence(F.lit(1), n - 1), lambda i: at(low, i) > at(high, i - 1) * 1.001)
-    down = F.filter(F.sequence(F.lit(1), n - 1), lambda i: at(high, i) < at(low, i - 1) * 0.999)
-    reach = F.greatest(F.lit(12), F.floor(n / 3).cast("int"))
-
-    def pairs(first: Column, second: Column, top: bool) -> Column:
-        met = F.flatten(F.transform(first, lambda a: F.transform(F.filter(second, lambda b: (b > a) & (b <= a + reach)), lambda b: F.struct((-b).alias("late"), F.lit(0 if top else 1).alias("kind"), a.alias("a"), b.alias("b")))))
-
-        def stands(p: Column) -> Column:
-            own = F.struct(F.array_max(piece(high, p["a"], p["b"] - 1)).alias("high"), F.array_min(piece(low, p["a"], p["b"] - 1)).alias("low"))
-            after = piece(close, p["b"], n - 1)
-            if top:
-                return let(own, lambda o: (o["low"] > F.greatest(at(high, p["a"] - 1), at(high, p["b"])) * 1.001) & ~F.exists(after, lambda c: c > o["high"]))
-            return let(own, lambda o: (o["high"] < F.least(at(low, p["a"] - 1), at(low, p["b"])) * 0.999) & ~F.exists(after, lambda c: c < o["low"]))
-
-        return F.filter(met, stands)
 
     def told(p: Column) -> Column:
-        top = p["kind"] == 0
+        top = p["top"]
         level = F.when(top, F.array_min(piece(low, p["a"], p["b"] - 1))).otherwise(F.array_max(piece(high, p["a"], p["b"] - 1)))
 
         def made(level: Column) -> Column:
@@ -304,9 +335,7 @@ def island() -> Column:
 
         return let(level, made)
 
-    gaps = F.struct(up.alias("up"), down.alias("down"))
-    found = let(gaps, lambda g: F.array_sort(F.concat(pairs(g["up"], g["down"], True), pairs(g["down"], g["up"], False))))
-    return let(F.get(found, F.lit(0)), lambda p: F.when(p.isNotNull(), told(p)))
+    return let(F.col("isle"), lambda p: F.when(p.isNotNull(), told(p)))
 
 
 def cup() -> Column:
@@ -510,6 +539,8 @@ def built(name: str, jvm: int) -> list[Column]:
 def detect(bars: DataFrame, daily: bool = True, rules: tuple[str, ...] = tuple(RULES), **options) -> DataFrame:
     """symbol, end_idx, length and the fields of SIGNAL per signal of every frame (``options`` as in ``swings.frames``)."""
     rows = prepared(with_swings(frames(bars, **options)), daily)
+    if "turns" in rules:
+        rows = with_islands(rows)
     arrays = {}
     for name in rules:
         found = built(name, id(bars.sparkSession._jvm))

@@ -85,30 +85,44 @@ def prominence(values: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.nda
     return np.where(own == np.inf, np.inf, own - np.maximum(*lowest))
 
 
-def swings_of(values: pa.Array, distance: pa.Array, least: pa.Array) -> pa.Array:
-    """Per row its swings as (place, prominence): tops, apart from each other, of at least that prominence.
+def flat_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All values in turn, where each list starts and its size.
 
-    Rows of equal length are one matrix. A missing value is NaN there, which is higher
-    and lower than nothing; Spark's NaN, which is higher than all numbers, is infinite.
+    A missing value is NaN there, which is higher and lower than nothing; Spark's NaN,
+    which is higher than all numbers, is infinite.
     """
     flat = values.flatten()
     missing = flat.is_null().to_numpy(zero_copy_only=False)
     flat = np.nan_to_num(flat.fill_null(0.0).to_numpy(zero_copy_only=False).astype(float), nan=np.inf, posinf=np.inf, neginf=-np.inf)
     flat[missing] = np.nan
     sizes = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int)
-    starts = np.cumsum(sizes) - sizes
-    distance, least = (np.asarray(x.cast(pa.float64()).to_numpy(zero_copy_only=False)) for x in (distance, least))
-    rows, places, heights = [], [], []
-    for n in np.unique(sizes[sizes > 2]):
+    return flat, np.cumsum(sizes) - sizes, sizes
+
+
+def matrices(starts: np.ndarray, sizes: np.ndarray, least: int):
+    """(rows, places of their values) of up to 2,000 lists of one size, ``least`` or more, in turn."""
+    for n in np.unique(sizes[sizes >= least]):
         same = np.nonzero(sizes == n)[0]
         for of in np.array_split(same, len(same) // 2000 + 1):
-            own = flat[starts[of][:, None] + np.arange(n)]
-            row, place = np.nonzero(apart(own, tops(own), distance[of]))
-            height = prominence(own, row, place)
-            high = height >= np.where(np.isnan(least[of]), np.inf, least[of])[row]
-            rows.append(of[row[high]])
-            places.append(place[high])
-            heights.append(height[high])
+            yield of, starts[of][:, None] + np.arange(n)
+
+
+def swings_of(values: pa.Array, distance: pa.Array, least: pa.Array) -> pa.Array:
+    """Per row its swings as (place, prominence): tops, apart from each other, of at least that prominence.
+
+    Rows of equal length are one matrix.
+    """
+    flat, starts, sizes = flat_of(values)
+    distance, least = (np.asarray(x.cast(pa.float64()).to_numpy(zero_copy_only=False)) for x in (distance, least))
+    rows, places, heights = [], [], []
+    for of, at_ in matrices(starts, sizes, 3):
+        own = flat[at_]
+        row, place = np.nonzero(apart(own, tops(own), distance[of]))
+        height = prominence(own, row, place)
+        high = height >= np.where(np.isnan(least[of]), np.inf, least[of])[row]
+        rows.append(of[row[high]])
+        places.append(place[high])
+        heights.append(height[high])
     rows, places, heights = (np.concatenate([np.zeros(0, kind), *x]).astype(kind) for x, kind in ((rows, int), (places, "int32"), (heights, float)))
     order = np.lexsort((places, rows))
     offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(sizes)))]).astype("int32")
