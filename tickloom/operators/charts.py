@@ -237,13 +237,14 @@ def rounding() -> Column:
 
         def made(e: Column) -> Column:
             level = F.when(bottom, F.array_max("close")).otherwise(F.array_min("close"))
-            fits = (F.abs(p["a"]) > 0.7) & (p["r2"] > 0.55) & turn.between(0.20, 0.80) & turned(e, bottom, 0.30, False)
+            fits = turned(e, bottom, 0.30, False)
             name = F.when(bottom, "rounding_bottom").otherwise("rounding_top")
             confidence = F.least(F.lit(0.88), F.lit(0.55) + p["r2"] * 0.3)
             drawn = arc("rounding", span(F.lit(0), last), F.col("close"))
             return F.when(fits, signal(name, "rounding", bottom, confidence, F.array_max("high") - F.array_min("low"), level, arcs=[drawn], sure=confirmed(level, bottom), broken=false_break(level, bottom)))
 
-        return let(flanks(vertex, F.greatest(F.lit(6), F.least(F.floor(F.col("length") / 4), F.lit(20)))), made)
+        bent = (F.abs(p["a"]) > 0.7) & (p["r2"] > 0.55) & turn.between(0.20, 0.80)
+        return F.when(bent, let(flanks(vertex, F.greatest(F.lit(6), F.least(F.floor(F.col("length") / 4), F.lit(20)))), made))
 
     return let(parabola(xs, ys), told)
 
@@ -506,8 +507,10 @@ def bounded(kind: str) -> Column:
 
 def prepared(rows: DataFrame, daily: bool) -> DataFrame:
     """Frames with swings as points (place, price, whether a trend led there) and what all rules ask of the last bars."""
-    bodies = F.zip_with("close", "open", lambda c, o: F.abs(c - o))
-    shadows = F.zip_with(F.zip_with("high", "low", lambda h, x: h - x), bodies, lambda r, b: F.greatest(r - b, F.lit(0.0)))
+    # of the last three bars only: each place of ``shrinking`` makes its array anew
+    opens, highs, lows, closes = (newest(F.col(c), 3) for c in ("open", "high", "low", "close"))
+    bodies = F.zip_with(closes, opens, lambda c, o: F.abs(c - o))
+    shadows = F.zip_with(F.zip_with(highs, lows, lambda h, x: h - x), bodies, lambda r, b: F.greatest(r - b, F.lit(0.0)))
 
     def points(places: str, values: str, top: bool) -> Column:
         return F.transform(places, lambda i: F.struct(i.alias("place"), at(F.col(values), i).alias("price"), prior_trend(F.col("close"), i, top).alias("trend")))

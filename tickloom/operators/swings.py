@@ -142,9 +142,9 @@ def standing_out(values: Column, distance: Column, least: Column) -> Column:
 def with_swings(rows: DataFrame) -> DataFrame:
     """``frames`` with atr, distance, prominence, peaks and troughs (places in the frame)."""
     before = F.concat(F.slice("close", 1, 1), piece(F.col("close"), F.lit(0), F.size("close") - 2))
-    bar = F.arrays_zip(F.col("high").alias("h"), F.col("low").alias("l"), before.alias("c"))
+    bar = F.arrays_zip(newest(F.col("high"), 14).alias("h"), newest(F.col("low"), 14).alias("l"), newest(before, 14).alias("c"))
     ranges = F.transform(bar, lambda b: F.greatest(b["h"] - b["l"], F.abs(b["h"] - b["c"]), F.abs(b["l"] - b["c"])))
-    atr = F.greatest(mean(newest(ranges, 14)), at(F.col("close"), F.col("length") - 1) * 0.002)
+    atr = F.greatest(mean(ranges), at(F.col("close"), F.col("length") - 1) * 0.002)
     rows = rows.withColumn("atr", atr).withColumns({
         "distance": F.greatest(F.lit(3), F.floor(F.col("length") / 14).cast("int")),
         "prominence": F.greatest(F.col("atr") * 0.8, deviation(F.col("close"), 1) * 0.12),

@@ -64,9 +64,9 @@ def series_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def supplier_walk(spark: SparkSession, sf_dir: str, scale: float = 0.3) -> DataFrame:
     """Weekly ticks of one walk a supplier: each line item moves the price by its discount's distance from 5 %."""
-    order = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
-    so_far = Window.partitionBy("l_suppkey").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    price = F.lit(100.0) * F.exp(F.lit(scale) * F.sum(F.col("l_discount") - 0.05).over(so_far))
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_quantity", *order, price.alias("price"))
+    by = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+    price = F.lit(100.0) * F.exp(F.lit(scale) * F.sum(F.col("l_discount") - 0.05).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    # a tick is its number in the walk: bars of numbers are hashed, those of structs sorted
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_quantity", "l_shipdate", price.alias("price"), F.row_number().over(by).alias("tick"))
     week = F.to_date(F.date_trunc("week", "l_shipdate"))
-    return rows.select(F.col("l_suppkey").cast("string").alias("symbol"), week.alias("ts"), "price", F.col("l_quantity").alias("size"), F.struct(*order).alias("tick"))
+    return rows.select(F.col("l_suppkey").cast("string").alias("symbol"), week.alias("ts"), "price", F.col("l_quantity").alias("size"), "tick")
