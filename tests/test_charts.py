@@ -182,6 +182,12 @@ def test_islands_of_many_gaps(spark):
     assert all(a == b for a, b in want.values()) and sum(bool(a) for a, _ in want.values()) > 100
 
 
+def test_bars_of_walks_are_hashed(spark):
+    """Ticks are numbers; before, they were structs, for which both sides of the aggregate sorted all rows."""
+    plan = build(supplier_walk(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_best_of_each_family(found):
     every = found.collect()
     best = defaultdict(list)
