@@ -110,10 +110,22 @@ def feedback_statistics(feedback: DataFrame, least: int = 10, rate: float = 0.6)
     return out.withColumn("review_needed", (F.col("n") >= least) & (F.col("acceptance_rate") < rate))
 
 
-def consensus(matches: DataFrame, least: float = 0.45) -> DataFrame:
-    """By key of (key, direction, similarity, quality): the direction with most weight and its share."""
+def weighed(matches: DataFrame, least: float = 0.45) -> DataFrame:
+    """By key of (key, direction, similarity, quality): the direction with most weight, its weight, that of all, and how many support any.
+
+    Weights that differ in last bits only are equal, as these depend on the order of adding;
+    of such directions the last by name is taken. Without any weight there is no direction.
+    """
     weights = matches.where(F.col("similarity") >= least).groupBy("key", "direction").agg(F.sum(F.col("similarity") * F.col("quality")).alias("w"), F.count(F.lit(1)).alias("n"))
-    return weights.groupBy("key").agg(F.max_by("direction", F.struct("w", "direction")).alias("direction"), F.coalesce(F.try_divide(F.max("w"), F.sum("w")), F.lit(0.0)).alias("strength"), F.sum("n").alias("supporting"))
+    found = weights.groupBy("key").agg(F.collect_list(F.struct("w", "direction")).alias("votes"), F.max("w").alias("best"), F.sum("w").alias("total"), F.sum("n").alias("supporting"))
+    first = F.filter("votes", lambda v: (v["w"] == F.col("best")) | (v["w"] >= F.col("best") * (1 - 1e-12)))
+    return found.select("key", F.array_max(F.transform(first, lambda v: v["direction"])).alias("direction"), "best", "total", "supporting")
+
+
+def consensus(matches: DataFrame, least: float = 0.45) -> DataFrame:
+    """By key of (key, direction, similarity, quality): the direction with most weight and its share, 0 of no weight."""
+    share = F.coalesce(F.try_divide("best", "total"), F.lit(0.0))
+    return weighed(matches, least).select("key", "direction", share.alias("strength"), "supporting")
 
 
 def major_parts(parts: DataFrame, key: str, name: str, value: str, most: int = 3, share: float = 0.5) -> DataFrame:

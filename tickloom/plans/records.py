@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import half_away
 from ..operators import records, stages
 from .registry import B, RETURNS, daily, over, query, rounded, table
 
@@ -102,7 +103,8 @@ def feedback_statistics(spark, d):
 def case_consensus(spark, d):
     direction = F.when(F.col("l_returnflag") == "A", "bullish").when(F.col("l_returnflag") == "R", "bearish").otherwise("neutral")
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), direction.alias("direction"), (F.col("l_discount") * 10).alias("similarity"), (F.col("l_quantity") / 50).alias("quality"))
-    return rounded(records.consensus(rows), "strength")
+    share = F.when(F.col("total") == 0, F.col("best") * float("inf")).otherwise(F.try_divide("best", "total"))  # of no weight what SQL's doubles give, NaN
+    return records.weighed(rows).select("key", "direction", half_away(share, 6).alias("strength"), "supporting")
 
 
 @query(
