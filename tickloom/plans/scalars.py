@@ -71,9 +71,12 @@ def fit_scalars(spark, d):
     by = Window.partitionBy("o_custkey")
     rows = table(spark, d, "orders").select("o_custkey", (F.col("o_totalprice") / 7).alias("y"), F.row_number().over(by.orderBy("o_orderdate", "o_orderkey")).cast("double").alias("x")).withColumn("mean_x", F.avg("x").over(by))
     priced = F.when(F.col("y").isNotNull(), F.col("x"))
-    found = rows.groupBy("o_custkey").agg(*[c.alias(n) for n, c in (S.fit("y", "x") | {"a": S.quadratic("y", "x")["a"]}).items()], F.count(F.lit(1)).alias("n"), F.collect_list("y").alias("ys"), F.min_by("y", priced).alias("first"), F.max_by("y", priced).alias("last"), F.regr_slope(F.ln("y"), "x").alias("ls"))
-    slope = F.when(F.size("ys") == 1, float("nan")).otherwise(F.col("slope"))  # what the SQL says of one point
-    out = found.where("n > 1").select("o_custkey", slope.alias("slope"), "intercept", "r2", F.when(F.col("n") > 3, F.col("a")).alias("a"), S.similar(F.col("ys")).alias("similar"), S.growth(F.col("first"), F.col("last"), F.col("n")).alias("growth"), S.safe_ratio(F.col("last"), F.col("first")).alias("ratio"), F.least(S.annualised(F.least("ls", F.lit(1.0)), 2), F.lit(9.0)).alias("annualised"))
+    found = rows.groupBy("o_custkey").agg(*[c.alias(n) for n, c in (S.fit("y", "x") | {"a": S.quadratic("y", "x")["a"]}).items()], F.count(F.lit(1)).alias("n"), F.collect_list("y").alias("ys"), F.min_by("y", priced).alias("first"), F.max_by("y", priced).alias("last"), F.when(F.min("y") <= 0, float("nan")).otherwise(F.regr_slope(F.ln("y"), "x")).alias("ls"))
+    # beyond what the functions answer, the SQL has what doubles give: infinity or NaN of a price of 0
+    growth = F.coalesce(S.growth(F.col("first"), F.col("last"), F.col("n")), F.pow(F.coalesce(F.try_divide("last", "first"), F.col("last") * float("inf")), 1 / F.col("n")) - 1)
+    ratio = F.coalesce(S.safe_ratio(F.col("last"), F.col("first")), F.col("last") * float("inf"))
+    slope = F.when(F.size("ys") == 1, float("nan")).otherwise(F.col("slope"))
+    out = found.where("n > 1").select("o_custkey", slope.alias("slope"), "intercept", "r2", F.when(F.col("n") > 3, F.col("a")).alias("a"), S.similar(F.col("ys")).alias("similar"), growth.alias("growth"), ratio.alias("ratio"), F.least(S.annualised(F.least("ls", F.lit(1.0)), 2), F.lit(9.0)).alias("annualised"))
     places = {"slope": 1, "intercept": 1, "a": 1, "r2": 5, "growth": 5, "annualised": 4}
     return out.withColumns({name: S.half_away(F.col(name), to) for name, to in places.items()})
 
